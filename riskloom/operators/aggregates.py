@@ -167,7 +167,10 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True,
         q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
              else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
         aggs.append(F.struct(
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.count(x).alias("count"),
+            # exact decimal sum, one IEEE division: independent of summation order
+            (F.sum(x.cast("decimal(38,6)")).cast("double") / F.count(x)).alias("mean"),
+            F.stddev_samp(x).alias("std"),
             F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max")).alias(c))
     wide = df.agg(*aggs)
     rows = wide.select(F.explode(F.array(*[
