@@ -7,6 +7,7 @@ import importlib
 _MODULES = (
     "riskloom.plans.queries_data",
     "riskloom.plans.queries_features",
+    "riskloom.plans.queries_metrics",
 )
 
 
