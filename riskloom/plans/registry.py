@@ -8,6 +8,7 @@ _MODULES = (
     "riskloom.plans.queries_data",
     "riskloom.plans.queries_features",
     "riskloom.plans.queries_metrics",
+    "riskloom.plans.queries_prep",
 )
 
 
