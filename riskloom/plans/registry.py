@@ -9,6 +9,7 @@ _MODULES = (
     "riskloom.plans.queries_features",
     "riskloom.plans.queries_metrics",
     "riskloom.plans.queries_prep",
+    "riskloom.plans.queries_models",
 )
 
 
