@@ -10,6 +10,7 @@ _MODULES = (
     "riskloom.plans.queries_metrics",
     "riskloom.plans.queries_prep",
     "riskloom.plans.queries_models",
+    "riskloom.plans.queries_io",
 )
 
 
