@@ -116,6 +116,31 @@ def asof_range_join(points: DataFrame, point_col: str, ranges: DataFrame,
     return out.select(*[p[c] for c in points.columns], *[ex[c] for c in payload])
 
 
+class RangeIndex:
+    """The exploded, disjoint range table built once and reused for many
+    point batches (micro-batches of a stream, repeated scoring runs)."""
+
+    def __init__(self, ranges: DataFrame, lower: str, upper: str, payload: list[str],
+                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS):
+        self.payload = list(payload)
+        self.stats = range_stats(ranges, lower, upper)
+        self.shift = _shift_for(self.stats.span, max(self.stats.n, 1))
+        bound = self.stats.n + (self.stats.span >> self.shift) + 1
+        dis = disjoint_ranges(ranges, lower, upper, payload, self.stats)
+        self.exploded = dis.select(
+            F.explode(F.sequence(F.shiftright(F.col("lo"), self.shift),
+                                 F.shiftright(F.col("hi"), self.shift))).alias("_bkt"),
+            F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *payload).persist()
+        self.broadcast = bound <= broadcast_rows
+
+    def join(self, points: DataFrame, point_col: str) -> DataFrame:
+        ex = F.broadcast(self.exploded) if self.broadcast else self.exploded
+        p = points.withColumn("_bkt", F.shiftright(F.col(point_col), self.shift))
+        cond = ((p["_bkt"] == ex["_bkt"]) & (p[point_col] >= ex["_lo"]) & (p[point_col] <= ex["_hi"]))
+        out = p.join(ex, cond, "left")
+        return out.select(*[p[c] for c in points.columns], *[ex[c] for c in self.payload])
+
+
 def broadcast_range_join(points: DataFrame, point_col: str, ranges: DataFrame,
                          lower: str, upper: str, payload: list[str],
                          max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -28,11 +28,22 @@ def with_ip_int(df: DataFrame, ip: str = "ip_address", out: str = "ip_as_int") -
     return df.withColumn(out, S.ip_as_int(ip, df.schema[ip].dataType))
 
 
-def with_country(df: DataFrame, ranges: DataFrame, ip: str = "ip_address",
+def country_index(ranges: DataFrame, out: str = "ip_country"):
+    """Reusable as-of index over the IP ranges (built once, joined many times)."""
+    from riskloom.operators.asof import RangeIndex
+    return RangeIndex(ranges.select(IP_LOWER, IP_UPPER, F.col("country").alias(out)),
+                      IP_LOWER, IP_UPPER, [out])
+
+
+def with_country(df: DataFrame, ranges, ip: str = "ip_address",
                  out: str = "ip_country") -> DataFrame:
-    """IP -> country by the nearest-lower as-of rule with the upper-bound check."""
+    """IP -> country by the nearest-lower as-of rule with the upper-bound check.
+
+    ``ranges`` is the range table or a prebuilt :func:`country_index`."""
     if "ip_as_int" not in df.columns:
         df = with_ip_int(df, ip)
+    if not isinstance(ranges, DataFrame):
+        return ranges.join(df, "ip_as_int")
     r = ranges.select(IP_LOWER, IP_UPPER, F.col("country").alias(out))
     return asof_range_join(df, "ip_as_int", r, IP_LOWER, IP_UPPER, [out])
 

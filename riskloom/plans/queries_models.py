@@ -71,6 +71,16 @@ def model_predict(spark, d):
     return r6(TR.scored(TR.fit(spark, d, BEST, td), td.test))
 
 
+@query("model_predict_proba")
+def model_predict_proba(spark, d):
+    """Both class probabilities (they sum to 1) for the test rows."""
+    from pyspark.ml.functions import vector_to_array
+    td = TR.commerce_training_data(spark, d)
+    out = TR.fit(spark, d, BEST, td).transform(td.test)
+    p = vector_to_array(F.col("probability"))
+    return r6(out.select("txn_id", p[0].alias("p_normal"), p[1].alias("p_fraud")))
+
+
 @query("model_importance")
 def model_importance(spark, d):
     td = TR.commerce_training_data(spark, d)

@@ -11,6 +11,7 @@ _MODULES = (
     "riskloom.plans.queries_prep",
     "riskloom.plans.queries_models",
     "riskloom.plans.queries_io",
+    "riskloom.plans.queries_stream",
 )
 
 
