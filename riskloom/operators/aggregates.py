@@ -157,21 +157,27 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True,
              accuracy: int = 100_000) -> DataFrame:
     """count/mean/std(sample)/min/q25/q50/q75/max per column, long form.
 
-    ``exact`` uses ``percentile`` (linear interpolation, equal to pandas);
-    for very long columns set ``exact=False`` to use ``percentile_approx``,
-    whose buffer is bounded by ``accuracy`` instead of the distinct values.
+    Quartiles are exact (linear interpolation, equal to pandas) via
+    distributed histogram refinement; ``exact=False`` uses
+    ``percentile_approx`` with a sketch bounded by ``accuracy``.
     """
+    probs = [0.25, 0.5, 0.75]
+    if exact:
+        from riskloom.operators.quantiles import exact_quantiles
+        qs = exact_quantiles(df, list(columns), probs)
+        qcol = {c: F.array(*[F.lit(v).cast("double") for v in qs.get(("", c), [None] * 3)])
+                for c in columns}
+    else:
+        qcol = {c: F.percentile_approx(_dbl(c), probs, accuracy) for c in columns}
     aggs = []
     for c in columns:
         x = _dbl(c)
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
         aggs.append(F.struct(
             F.count(x).alias("count"),
             # exact decimal sum, one IEEE division: independent of summation order
             (F.sum(x.cast("decimal(38,6)")).cast("double") / F.count(x)).alias("mean"),
             F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max")).alias(c))
+            F.min(x).alias("min"), qcol[c].alias("q"), F.max(x).alias("max")).alias(c))
     wide = df.agg(*aggs)
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in columns])).alias("r"))
@@ -216,11 +222,15 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: str = "class") -> DataFrame:
-    q = F.percentile(_dbl(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (df.groupBy(by).agg(F.min(_dbl(value)).alias("min"), q.alias("q"),
-                               F.max(_dbl(value)).alias("max"))
-            .select(by, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                    F.col("q")[2].alias("q3"), "max"))
+    """min, Q1, median, Q3, max of ``value`` per group (exact quartiles)."""
+    from riskloom.operators.quantiles import exact_quantiles
+    qs = exact_quantiles(df, [value], [0.25, 0.5, 0.75], by=by)
+    q = df.sparkSession.createDataFrame(
+        [(g, *v) for (g, _c), v in qs.items()], "_g string, q1 double, median double, q3 double")
+    mm = df.groupBy(by).agg(F.min(_dbl(value)).alias("min"), F.max(_dbl(value)).alias("max"))
+    # one row per group on both sides
+    out = mm.join(q, F.col(by).cast("string") == F.col("_g"), "left")
+    return out.select(by, "min", "q1", "median", "q3", "max")
 
 
 def histogram_by_group(df: DataFrame, value: str, by: str, bins: int = 50) -> DataFrame:
@@ -236,7 +246,7 @@ def histogram_by_group(df: DataFrame, value: str, by: str, bins: int = 50) -> Da
     rng = rng.withColumn("_w", width)
     idx = F.when(F.col("_w") == 0, F.lit(0)).otherwise(
         F.least(F.floor((x - F.col("_mn")) / F.col("_w")), F.lit(bins - 1))).cast("int")
-    counts = (df.where(x.isNotNull()).join(F.broadcast(rng), by)
+    counts = (df.where(x.isNotNull()).join(rng, by)
               .groupBy(by, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
     grid = rng.select(by, "_mn", "_w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counts, [by, "bin"], "left")

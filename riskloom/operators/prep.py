@@ -71,14 +71,17 @@ def fit_medians(df: DataFrame, columns: Sequence[str], exact: bool = True,
                 accuracy: int = 100_000) -> ImputeState:
     """Median per column (pandas-style: mean of the two middle values).
 
-    ``exact`` uses ``percentile`` (its buffer holds the distinct values of a
-    column); ``exact=False`` uses ``percentile_approx`` with a bounded sketch
-    for very long columns.
+    ``exact`` finds the middle order statistics by distributed histogram
+    refinement (``quantiles.exact_quantiles``: a few scans, no whole-column
+    buffer); ``exact=False`` uses ``percentile_approx`` with a bounded sketch.
     """
     if not columns:
         return ImputeState()
-    aggs = [(F.percentile(F.col(c).cast("double"), 0.5) if exact
-             else F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy)).alias(c) for c in columns]
+    if exact:
+        from riskloom.operators.quantiles import exact_medians
+        med = exact_medians(df, list(columns))
+        return ImputeState({c: (float(med[c]) if med[c] is not None else None) for c in columns})
+    aggs = [F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in columns]
     row = df.agg(*aggs).first().asDict()
     return ImputeState({c: (float(row[c]) if row[c] is not None else None) for c in columns})
 

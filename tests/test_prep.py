@@ -86,3 +86,16 @@ def test_smote_counts_and_segments(spark):
     xs = [r["x"] for r in syn.collect()]
     assert min(xs) >= 50.0 and max(xs) <= 59.0  # on segments between minority rows
     assert syn.where("class = 1").count() == syn.count()
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from riskloom.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(1)
+    a = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), rng.exponential(size=1001)])
+    g = rng.integers(0, 3, size=len(a))
+    df = spark.createDataFrame([(int(gi), float(x)) for gi, x in zip(g, a)], "g int, x double")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = exact_quantiles(df, ["x"], probs, by="g")
+    for gi in range(3):
+        want = np.quantile(a[g == gi], probs)
+        assert np.allclose(got[(str(gi), "x")], want, rtol=0, atol=1e-12)
