@@ -18,7 +18,7 @@ from riskloom.config import CATEGORICAL_COLUMNS, HIGH_RISK_MIN_COUNT, HIGH_RISK_
 from riskloom.functions import scalar as S
 from riskloom.operators import aggregates as A
 from riskloom.operators.asof import asof_range_join
-from riskloom.operators.velocity import key_velocity
+from riskloom.operators.velocity import key_velocity_auto, largest_groups
 
 IP_LOWER = "lower_bound_ip_address"
 IP_UPPER = "upper_bound_ip_address"
@@ -110,6 +110,7 @@ def engineer(df: DataFrame, state: CommerceState, ranges: DataFrame | None = Non
     """All purchase features; column-guarded like the modelled feature step."""
     if ranges is not None and "ip_address" in df.columns and "ip_country" not in df.columns:
         df = with_country(df, ranges)
+    base = df
     df = time_features(df)
     if "device_id" in df.columns:
         aggs = {"device_frequency": F.count(F.lit(1))}
@@ -125,12 +126,17 @@ def engineer(df: DataFrame, state: CommerceState, ranges: DataFrame | None = Non
         df = with_ip_int(df)
     df = value_features(df)
     if "purchase_time" in df.columns:
+        vkeys = [k for k in ("device_id", ip_key) if k in df.columns]
+        # one skew probe for both keys, on the input before the feature joins
+        largest = largest_groups(base, vkeys, "purchase_time") if vkeys else {}
         if "device_id" in df.columns:
-            df = key_velocity(df, "device_id", "purchase_time", order_col,
-                              count_col="user_id" if "user_id" in df.columns else order_col,
-                              usage_out="device_usage_count", freq_out="device_freq_1h")
+            df = key_velocity_auto(df, "device_id", "purchase_time", order_col,
+                                   largest=largest["device_id"],
+                                   count_col="user_id" if "user_id" in df.columns else order_col,
+                                   usage_out="device_usage_count", freq_out="device_freq_1h")
         if ip_key in df.columns:
-            df = key_velocity(df, ip_key, "purchase_time", order_col, usage_out="ip_usage_count")
+            df = key_velocity_auto(df, ip_key, "purchase_time", order_col, largest=largest[ip_key],
+                                   usage_out="ip_usage_count")
     if "ip_country" in df.columns:
         if state.high_risk is not None:
             df = A.flag_in_set(df, "ip_country", state.high_risk, "ip_country", "is_high_risk_country")

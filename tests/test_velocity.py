@@ -26,3 +26,18 @@ def test_bucket_width_does_not_change_result(spark):
     b = key_velocity(df, "device_id", "ts", "txn_id", count_col="user_id", usage_out="u", freq_out="f",
                      bucket_us=7 * 3_600_000_000)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_ranged_equals_buckets_and_survives_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.operators.velocity import key_velocity_ranged
+    from riskloom.sources import fixtures as X
+    from tests.conftest import SF0001
+    t = X.commerce_txn(spark, SF0001)
+    for df in (t, t.withColumn("device_id", F.lit("hot"))):  # every row on one device
+        a = key_velocity(df, "device_id", "purchase_time", "txn_id", count_col="user_id",
+                         usage_out="u", freq_out="f")
+        b = key_velocity_ranged(df, "device_id", "purchase_time", "txn_id", count_col="user_id",
+                                usage_out="u", freq_out="f", partitions=7)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
