@@ -55,11 +55,12 @@ def flag_in_set(df: DataFrame, value_col: str, members: DataFrame, member_col: s
                 out: str) -> DataFrame:
     """``value in learned set`` -> 0/1 via a left join to the (distinct) set.
 
-    The learned set holds at most one row per distinct value of the fitted
-    column (countries), so it is broadcast; an empty set yields 0 everywhere.
+    The set has one row per distinct fitted value (countries); no broadcast
+    hint: AQE broadcasts it at run time when its measured size is small and
+    keeps a shuffled join otherwise.  An empty set yields 0 everywhere.
     """
     flag = members.select(F.col(member_col).alias("_m")).distinct().withColumn("_hit", F.lit(1))
-    joined = df.join(F.broadcast(flag), df[value_col] == flag["_m"], "left")
+    joined = df.join(flag, df[value_col] == flag["_m"], "left")
     return joined.select(*[df[c] for c in df.columns],
                          F.coalesce(F.col("_hit"), F.lit(0)).alias(out))
 

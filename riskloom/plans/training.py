@@ -49,7 +49,8 @@ def commerce_training_data(spark: SparkSession, sf_dir: str, use_smote: bool = D
     if memo in _DATA:
         return _DATA[memo]
     raw = C.with_country(X.commerce_txn(spark, sf_dir), X.ip_ranges(spark, sf_dir))
-    split = P.stratified_split(raw, LABEL, KEY, DEFAULTS.test_size, DEFAULTS.seed)
+    # read by the state fit, the skew probe and the feature build: materialise once
+    split = cut_lineage(P.stratified_split(raw, LABEL, KEY, DEFAULTS.test_size, DEFAULTS.seed))
     state = FT.fit_feature_state(split.where(F.col("is_test") == 0), "fraud", LABEL)
     feats = FT.prepare_features(split, "fraud", state=state, keep=(KEY, "is_test"))
     feats = cut_lineage(feats)
