@@ -31,7 +31,7 @@ def stream_velocity(spark, d):
     streamed = spark.read.parquet(out)
     nulls = t.where(F.col("device_id").isNull()).select(
         "txn_id", "device_id", F.lit(None).cast("bigint").alias("device_usage_count"),
-        F.lit(None).cast("bigint").alias("device_freq_1h"))
+        F.lit(None).cast("bigint").alias("device_freq_1h"), F.lit(0).alias("is_late"))
     return streamed.unionByName(nulls)
 
 
@@ -44,7 +44,8 @@ select txn_id, device_id,
                          range between interval '3599999999 microseconds' preceding and current row)
     - count(user_id) over (partition by device_id, purchase_time)
     + count(user_id) over (partition by device_id, purchase_time order by txn_id
-                           rows between unbounded preceding and current row) end as device_freq_1h
+                           rows between unbounded preceding and current row) end as device_freq_1h,
+  0 as is_late
 from commerce_txn""", "commerce_txn")
 
 
