@@ -232,7 +232,7 @@ def agg_corr_label(spark, d):
 
 sql("agg_corr_label", """
 select feature, round(corr, 6) as corr, round(abs(corr), 6) as abs_corr,
-       row_number() over (order by abs(corr) desc, feature) as rank
+       cast(row_number() over (order by abs(corr) desc, feature) as int) as rank
 from (""" + "\nunion all\n".join(
     f"select '{c}' as feature, corr(\"{c}\", class) as corr from card_txn" for c in CARD_NUMERIC)
     + ") where corr is not null and not isnan(corr) qualify rank <= 15", "card_txn")

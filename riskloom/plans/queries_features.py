@@ -378,7 +378,8 @@ def dq_validate_card(spark, d):
 
 
 sql("dq_validate_card", """
-select txn_id, round("Amount", 6) as "Amount", round(coalesce(V1, 0.0), 6) as V1, 0.0 as V7, 0.0 as V28,
+select txn_id, round("Amount", 6) as "Amount", round(coalesce(V1, 0.0), 6) as V1, cast(0.0 as double) as V7,
+       cast(0.0 as double) as V28,
        cast(r = '' as int) as is_valid, nullif(r, '') as reject_reason from (
   select *, concat_ws('; ', case when "Time" is null then 'Time missing' end,
                        case when "Amount" is null then 'Amount missing' end,
@@ -431,5 +432,5 @@ def project_align(spark, d):
 
 
 sql("project_align", """
-select txn_id, round(V3, 6) as V3, round(V1, 6) as V1, 0.0 as V9, round("Amount", 6) as "Amount",
-       round(V2, 6) as V2, 0.0 as hour from card_txn""", "card_txn")
+select txn_id, round(V3, 6) as V3, round(V1, 6) as V1, cast(0.0 as double) as V9,
+       round("Amount", 6) as "Amount", round(V2, 6) as V2, cast(0.0 as double) as hour from card_txn""", "card_txn")

@@ -384,7 +384,7 @@ def eval_full(spark, d):
 
 sql("eval_full", f"""
 select tn, fp, fn, tp, {_rnd(_BASIC_COLS + _RATE_COLS)}, round({_AUC}, 6) as roc_auc,
-       round({_AP}, 6) as average_precision, 0.5 as threshold
+       round({_AP}, 6) as average_precision, cast(0.5 as double) as threshold
 from (select *, {_BASIC}, {_RATES} from cm)""", "scores", extra={"cm": _cm_sql(), **_prefix_sql()})
 
 
