@@ -46,7 +46,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     Empty groups give ``None`` values.
     """
-    long = _long(df, columns, by).persist()
+    # not cached: each pass re-reads the (column-pruned) input, which at scale
+    # costs the same as spilling an exploded copy and keeps executor memory free
+    long = _long(df, columns, by)
     stats = long.groupBy("_g", "c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
                                         F.max("x").alias("mx")).collect()
     # targets: (group, column, rank) -> [lo, hi, rank_below_lo, done_value]
@@ -67,27 +69,32 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         open_t = {t: s for t, s in open_t.items() if s["value"] is None}
         if not open_t:
             break
-        spec = [(g, c, k, s["lo"], s["hi"], s["below"]) for (g, c, k), s in open_t.items()]
-        tdf = df.sparkSession.createDataFrame(
-            spec, "_g string, c string, k long, lo double, hi double, below long")
-        # <= (groups x columns x 2 x probs) target rows: a bounded broadcast
-        j = long.join(F.broadcast(tdf), ["_g", "c"]).where(
+        # targets sharing an interval (all ranks of a column on the first pass)
+        # share one histogram: each row is binned once per distinct interval
+        ivals = {}
+        for (g, c, k), s in open_t.items():
+            ivals.setdefault((g, c, s["lo"], s["hi"]), len(ivals))
+        ispec = [(g, c, i, lo, hi) for (g, c, lo, hi), i in ivals.items()]
+        tspec = [(ivals[(g, c, s["lo"], s["hi"])], g, c, k, s["below"]) for (g, c, k), s in open_t.items()]
+        idf = df.sparkSession.createDataFrame(ispec, "_g string, c string, iid int, lo double, hi double")
+        tdf = df.sparkSession.createDataFrame(tspec, "iid int, tg string, tc string, k long, below long")
+        # <= (groups x columns x 2 x probs) rows each: bounded broadcasts
+        j = long.join(F.broadcast(idf), ["_g", "c"]).where(
             (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
         width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
         b = F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-        hist = (j.groupBy("_g", "c", "k", "below", b.alias("b"))
+        hist = (j.groupBy("iid", b.alias("b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("bmn"), F.max("x").alias("bmx")))
         # the bin holding rank k: a running count over <= bins rows per target
-        before = Window.partitionBy("_g", "c", "k").orderBy("b").rowsBetween(
-            Window.unboundedPreceding, -1)
+        per_t = hist.join(F.broadcast(tdf), "iid")
+        before = Window.partitionBy("iid", "k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         cum = F.col("below") + F.coalesce(F.sum("n").over(before), F.lit(0))
-        hit = (hist.withColumn("_cum", cum)
+        hit = (per_t.withColumn("_cum", cum)
                .where((F.col("_cum") <= F.col("k")) & (F.col("k") < F.col("_cum") + F.col("n")))
-               .select("_g", "c", "k", "_cum", "bmn", "bmx").collect())  # one row per target
+               .select("tg", "tc", "k", "_cum", "bmn", "bmx").collect())  # one row per target
         for r in hit:
-            s = open_t[(r["_g"], r["c"], r["k"])]
+            s = open_t[(r["tg"], r["tc"], r["k"])]
             s["lo"], s["hi"], s["below"] = r["bmn"], r["bmx"], int(r["_cum"])
-    long.unpersist()
     out = {}
     for key, (n, hs) in wanted.items():
         vals = []
