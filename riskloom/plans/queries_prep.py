@@ -10,7 +10,7 @@ from riskloom.operators import prep as P
 from riskloom.plans import features as FT
 from riskloom.plans.catalog import query, r6
 from riskloom.plans.oracle import sql
-from riskloom.session import scratch_path
+from riskloom.session import cut_lineage, scratch_path
 from riskloom.sources import fixtures as X
 
 CARD_FEATURES = ["Amount", "V1", "V2", "V3", "V4", "V5", "V6"]
@@ -45,7 +45,7 @@ sql("split_stratified_card", "select txn_id, class, is_test from split", "card_t
 @query("impute_median")
 def impute_median(spark, d):
     """Medians fitted on the training split, applied to every row."""
-    t = P.stratified_split(X.commerce_txn(spark, d))
+    t = cut_lineage(P.stratified_split(X.commerce_txn(spark, d)))  # read by every refinement pass
     st = P.fit_medians(t.where(F.col("is_test") == 0), COMMERCE_NUMERIC)
     return r6(P.apply_medians(t, st).select("txn_id", "is_test", *COMMERCE_NUMERIC))
 
@@ -58,7 +58,8 @@ from split, (select median(purchase_value) as mp, median(age) as ma, median(ip_a
 
 
 def _card_split(spark, d):
-    return P.stratified_split(X.card_txn(spark, d))
+    """The split is read by the fit passes and the transform: materialised once."""
+    return cut_lineage(P.stratified_split(X.card_txn(spark, d)))
 
 
 @query("scale_standard")
