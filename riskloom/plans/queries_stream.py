@@ -25,9 +25,9 @@ def stream_velocity(spark, d):
     """Per-device running count and 1h trailing count from a stateful stream;
     equals the batch windows on in-order input."""
     t = X.commerce_txn(spark, d)
-    src = J.write_ordered_chunks(t, scratch_path(spark, "velocity-src"), "purchase_time", N_CHUNKS)
+    src, files = J.write_ordered_chunks(t, scratch_path(spark, "velocity-src"), "purchase_time", N_CHUNKS)
     out, ckpt = J.scratch(spark, "velocity")
-    J.run_available_now(J.stream_velocity(spark, src, t.schema), out, ckpt)
+    J.run_available_now(J.stream_velocity(spark, src, t.schema, max_files=files), out, ckpt)
     streamed = spark.read.parquet(out)
     nulls = t.where(F.col("device_id").isNull()).select(
         "txn_id", "device_id", F.lit(None).cast("bigint").alias("device_usage_count"),
@@ -57,8 +57,8 @@ def stream_alert_windows(spark, d):
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("txn_id"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("event_time"))
     sc = X.scores(spark, d).join(li, "txn_id")
-    src = J.write_ordered_chunks(sc, scratch_path(spark, "alerts-src"), "event_time", N_CHUNKS)
-    stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    src, files = J.write_ordered_chunks(sc, scratch_path(spark, "alerts-src"), "event_time", N_CHUNKS)
+    stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", files).parquet(src)
     scored = MD.score_details(stream, 0.5, include_details=True)
     out, ckpt = J.scratch(spark, "alerts")
     J.run_foreach_batch(J.alert_windows(scored, "event_time"), J.idempotent_batch_writer(out), ckpt,
@@ -87,7 +87,7 @@ def stream_score(spark, d):
     td = TR.commerce_training_data(spark, d)
     model = TR.fit(spark, d, "random_forest", td)
     raw = P.stratified_split(X.commerce_txn(spark, d)).where(F.col("is_test") == 1).drop("is_test")
-    src = J.write_ordered_chunks(raw, scratch_path(spark, "score-src"), "purchase_time", N_CHUNKS)
+    src, files = J.write_ordered_chunks(raw, scratch_path(spark, "score-src"), "purchase_time", N_CHUNKS)
     index = C.country_index(X.ip_ranges(spark, d))  # static side, built once
     out, ckpt = J.scratch(spark, "score")
     write = J.idempotent_batch_writer(out)
@@ -99,6 +99,6 @@ def stream_score(spark, d):
         s = MD.score_details(TR.scored(model, x), 0.5, include_details=True)
         write(s, batch_id)
 
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(src)
     J.run_foreach_batch(stream, score, ckpt)
     return r6(spark.read.parquet(out))
