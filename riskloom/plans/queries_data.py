@@ -440,6 +440,30 @@ case when device_id is null then null else
 sql("win_device_freq_1h", f"select txn_id, device_id, {_FREQ_1H} as device_freq_1h from commerce_txn",
     "commerce_txn")
 
+
+
+@query("win_velocity_hot_device")
+def win_velocity_hot_device(spark, d):
+    """Worst-case skew: every purchase on one device.  The range-partitioned
+    plan splits the single key over all partitions; same semantics as
+    ``win_device_usage_count`` + ``win_device_freq_1h``."""
+    from riskloom.operators.velocity import key_velocity_ranged
+    t = X.commerce_txn(spark, d).withColumn("device_id", F.lit("dev_hot"))
+    return key_velocity_ranged(t, "device_id", "purchase_time", "txn_id", count_col="user_id",
+                               usage_out="device_usage_count", freq_out="device_freq_1h").select(
+        "txn_id", "device_id", "device_usage_count", "device_freq_1h")
+
+
+sql("win_velocity_hot_device", """
+select txn_id, device_id,
+  row_number() over (partition by device_id order by purchase_time, txn_id) as device_usage_count,
+  count(user_id) over (partition by device_id order by purchase_time
+                       range between interval '3599999999 microseconds' preceding and current row)
+  - count(user_id) over (partition by device_id, purchase_time)
+  + count(user_id) over (partition by device_id, purchase_time order by txn_id
+                         rows between unbounded preceding and current row) as device_freq_1h
+from (select * replace ('dev_hot' as device_id) from commerce_txn)""", "commerce_txn")
+
 # ======================================================= top-k / limits =====
 
 
