@@ -156,6 +156,11 @@ def key_velocity_ranged(df: DataFrame, key: str, ts: str, order_col: str,
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("_pid", "_k", "_p", "_o", F.sum("_w").over(run).alias("_lw"),
                           F.sum("_c").over(run).alias("_lc"), "_w", "_c")
+    # three branches read the partition ids: materialise once (reliable
+    # checkpoint in the shared folder) so all see one range partitioning and
+    # the range exchange runs a single time
+    from riskloom.session import cut_lineage
+    local = cut_lineage(local)
     tot = local.groupBy("_pid", "_k").agg(F.sum("_w").alias("_tw"), F.sum("_c").alias("_tc"))
     earlier = Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", "_k", F.coalesce(F.sum("_tw").over(earlier), F.lit(0)).alias("_ow"),
