@@ -45,8 +45,12 @@ def estimator(model_type: str, features: Sequence[str], label: str = "class",
         params.update(overrides)
         clf = LogisticRegression(**params)
     elif model_type == "random_forest":
+        # maxMemoryInMB / cacheNodeIds are execution settings only: more tree
+        # nodes are split per pass over the data, and node ids are cached
+        # instead of re-shipping the trees; the fitted forest is unchanged
         params = dict(numTrees=d.rf_trees, maxDepth=d.rf_depth, minInstancesPerNode=d.rf_min_leaf,
-                      featureSubsetStrategy="sqrt", seed=d.seed, **common)
+                      featureSubsetStrategy="sqrt", seed=d.seed, maxMemoryInMB=1024,
+                      cacheNodeIds=True, **common)
         params.update(overrides)
         clf = RandomForestClassifier(**params)
     elif model_type == "xgboost":
