@@ -77,6 +77,34 @@ from (select s.*, l.l_shipdate,
 group by 1, 2, 3""", "scores")
 
 
+@query("stream_alert_windows_sliding")
+def stream_alert_windows_sliding(spark, d):
+    """Sliding variant: 1-hour windows every 10 minutes (each row in 6 windows)."""
+    li = X.table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("txn_id"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("event_time"))
+    sc = X.scores(spark, d).join(li, "txn_id")
+    src, files = J.write_ordered_chunks(sc, scratch_path(spark, "slide-src"), "event_time", N_CHUNKS)
+    stream = spark.readStream.schema(sc.schema).option("maxFilesPerTrigger", files).parquet(src)
+    scored = MD.score_details(stream, 0.5, include_details=True)
+    out, ckpt = J.scratch(spark, "slide")
+    J.run_foreach_batch(J.alert_windows(scored, "event_time", slide="10 minutes"),
+                        J.idempotent_batch_writer(out), ckpt, mode="update")
+    return J.latest_per_key(spark.read.parquet(out), ["window_start", "window_end", "risk_level"])
+
+
+sql("stream_alert_windows_sliding", """
+select window_start, window_start + interval 1 hour as window_end, risk_level, count(*) as n
+from (select time_bucket(interval 10 minute, l_shipdate) - to_minutes(10 * k) as window_start, risk_level
+      from (select s.*, l.l_shipdate,
+              case when fraud_probability < 0.3 then 'low' when fraud_probability < 0.6 then 'medium'
+                   when fraud_probability < 0.8 then 'high' else 'critical' end as risk_level
+            from scores s join (select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)
+                                       as txn_id, l_shipdate from lineitem) l on s.txn_id = l.txn_id),
+           (select unnest(range(6)) as k))
+group by 1, 2, 3""", "scores")
+
+
 @query("stream_score")
 def stream_score(spark, d):
     """Request rows arrive as files; every micro-batch is engineered with the
