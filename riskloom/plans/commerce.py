@@ -106,10 +106,21 @@ def fit_state(df: DataFrame, label: str = "class", min_rate: float = HIGH_RISK_R
 
 
 def engineer(df: DataFrame, state: CommerceState, ranges: DataFrame | None = None,
-             ip_key: str = "ip_address", order_col: str = "txn_id") -> DataFrame:
-    """All purchase features; column-guarded like the modelled feature step."""
+             ip_key: str = "ip_address", order_col: str = "txn_id",
+             materialize: bool = True) -> DataFrame:
+    """All purchase features; column-guarded like the modelled feature step.
+
+    About a dozen branches (group aggregates, velocity windows and their
+    offsets, halos, probes) read the input; ``materialize`` writes it once
+    to the shared checkpoint folder so they scan that instead of each
+    recomputing the upstream joins.  Pass ``False`` for an input that is
+    already materialised (a checkpoint, a table) or tiny (a micro-batch).
+    """
     if ranges is not None and "ip_address" in df.columns and "ip_country" not in df.columns:
         df = with_country(df, ranges)
+    if materialize:
+        from riskloom.session import cut_lineage
+        df = cut_lineage(df)
     base = df
     df = time_features(df)
     if "device_id" in df.columns:

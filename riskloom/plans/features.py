@@ -37,9 +37,10 @@ def fit_feature_state(df: DataFrame, dataset_type: str, label: str = "class") ->
     raise ValueError(f"Unknown dataset type: {dataset_type}")
 
 
-def engineer(df: DataFrame, state: FeatureState, ranges: DataFrame | None = None) -> DataFrame:
+def engineer(df: DataFrame, state: FeatureState, ranges: DataFrame | None = None,
+             materialize: bool = True) -> DataFrame:
     if state.dataset_type == "fraud":
-        return C.engineer(df, state.commerce, ranges)
+        return C.engineer(df, state.commerce, ranges, materialize=materialize)
     if state.dataset_type == "creditcard":
         return CD.engineer(df, state.card)
     raise ValueError(f"Unknown dataset type: {state.dataset_type}")
@@ -47,17 +48,25 @@ def engineer(df: DataFrame, state: FeatureState, ranges: DataFrame | None = None
 
 def prepare_features(df: DataFrame, dataset_type: str, state: FeatureState | None = None,
                      drop_columns: Sequence[str] | None = None, keep: Sequence[str] = ("txn_id",),
-                     ranges: DataFrame | None = None, label: str = "class") -> DataFrame:
-    """Engineer -> drop -> numeric columns.  ``state=None`` fits on ``df``."""
+                     ranges: DataFrame | None = None, label: str = "class",
+                     materialize: bool = True) -> DataFrame:
+    """Engineer -> drop -> numeric columns.  ``state=None`` fits on ``df``.
+
+    ``materialize`` checkpoints the (joined) input once before the many
+    feature branches read it; see ``commerce.engineer``."""
     if dataset_type not in DATASET_TYPES:
         raise ValueError(f"Unknown dataset type: {dataset_type}")
     if state is None:
         base = df
         if dataset_type == "fraud" and ranges is not None and "ip_country" not in df.columns:
             base = C.with_country(df, ranges)
+            if materialize:
+                from riskloom.session import cut_lineage
+                base = cut_lineage(base)  # read by the state fit and the features
+                materialize = False
             df, ranges = base, None
         state = fit_feature_state(base, dataset_type, label)
-    out = engineer(df, state, ranges)
+    out = engineer(df, state, ranges, materialize=materialize)
     if drop_columns is None:
         drop_columns = COMMERCE_DROP_COLUMNS if dataset_type == "fraud" else CARD_DROP_COLUMNS
     out = Q.drop_present(out, [c for c in drop_columns if c not in keep])

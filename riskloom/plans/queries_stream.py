@@ -122,7 +122,7 @@ def stream_score(spark, d):
 
     def score(batch, batch_id):
         geo = C.with_country(batch, index)
-        feats = FT.prepare_features(geo, "fraud", state=td.feature_state)
+        feats = FT.prepare_features(geo, "fraud", state=td.feature_state, materialize=False)
         x = td.preprocessor.transform(feats)
         s = MD.score_details(TR.scored(model, x), 0.5, include_details=True)
         write(s, batch_id)

@@ -52,7 +52,7 @@ def commerce_training_data(spark: SparkSession, sf_dir: str, use_smote: bool = D
     # read by the state fit, the skew probe and the feature build: materialise once
     split = cut_lineage(P.stratified_split(raw, LABEL, KEY, DEFAULTS.test_size, DEFAULTS.seed))
     state = FT.fit_feature_state(split.where(F.col("is_test") == 0), "fraud", LABEL)
-    feats = FT.prepare_features(split, "fraud", state=state, keep=(KEY, "is_test"))
+    feats = FT.prepare_features(split, "fraud", state=state, keep=(KEY, "is_test"), materialize=False)
     feats = cut_lineage(feats)
     features = [c for c in feats.columns if c not in (KEY, LABEL, "is_test")]
     train, test = feats.where(F.col("is_test") == 0), feats.where(F.col("is_test") == 1)

@@ -80,7 +80,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (never ``localCheckpoint``) into the shared folder."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "table"):
+    """Cut lineage by writing a Parquet table into the shared checkpoint
+    folder and reading it back (never ``localCheckpoint``).
+
+    Unlike an eager ``Dataset.checkpoint`` (which computes the plan once for
+    the count and again for the checkpoint write), the plan runs once, and
+    later scans get column pruning and filter pushdown on the table.  A lost
+    executor costs nothing: the table lives in the shared folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
