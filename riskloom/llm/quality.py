@@ -31,7 +31,8 @@ MAX_REPEAT_PERCENT = 30
 KEEP_FROM = 0.5          # posterior from which a document is kept
 ITERATIONS = 25
 PRIOR_ROWS = 20.0        # weight of the starting values, in documents
-START = {"good": 0.9, "on_good": 0.95, "on_bad": 0.7}
+START = {"good": 0.9, "on_good": 0.98, "on_bad": 0.35}   # rules seldom blame a good document, and miss many bad ones
+BOUNDS = {"good": (0.5, 0.995), "on_good": (0.9, 0.998), "on_bad": (0.1, 0.9)}
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -47,14 +48,17 @@ def rules() -> dict[str, Column]:
     some, more = F.col("n_words") >= 1, F.col("n_words") >= MIN_WORDS
     word, symbols = _ratio("word_chars", "n_words"), _ratio("n_symbols", "n_words")
     dup, rep = _ratio("n_dup_lines", "_n_lines"), _ratio("n_repeat_words", "n_words")
+    marks, bare = _ratio("_n_marks", "n_words"), _ratio("_n_bare", "n_words")
     kinds, letters = _ratio("_n_kinds", "n_words"), _ratio("_n_letters", "word_chars")
     upper, stops = _ratio("_n_upper", "_n_letters"), _ratio("_n_stops", "n_words")
     return {
         "length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 40, F.lit(True)),
         "word_length": _vote((word < 2.5) | (word > 12), word.between(3.5, 9), some),
         "symbols": _vote(symbols > 0.2, symbols < 0.05, some),
-        "dup_lines": _vote(dup > 0.3, dup <= 0.1, some & (F.col("_n_lines") >= 3)),
-        "repeats": _vote(rep > 0.2, rep < 0.05, more),
+        "marks": _vote(marks > 0.1, marks < 0.02, some),
+        "bare_marks": _vote(bare > 0.1, bare < 0.02, some),
+        "dup_lines": _vote(dup > 0.5, dup <= 0.2, some & (F.col("_n_lines") >= 3)),
+        "repeats": _vote(rep > 0.3, rep < 0.1, more),
         "variety": _vote(kinds < 0.15, kinds > 0.3, F.col("n_words").between(50, 5000)),
         "letters": _vote(letters < 0.6, letters > 0.8, some),
         "upper": _vote(upper > 0.4, upper < 0.15, F.col("_n_letters") >= 20),
@@ -76,7 +80,9 @@ def measured(df: DataFrame, text: Column) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").alias("_n_lines"),
         F.size(F.array_distinct("_wh")).alias("_n_kinds"),
-        count(r"\P{L}+").alias("_n_letters"), count(r"\P{Lu}+").alias("_n_upper"), count(r"[^.!?]+").alias("_n_stops"))
+        count(r"\P{L}+").alias("_n_letters"), count(r"\P{Lu}+").alias("_n_upper"), count(r"[^.!?]+").alias("_n_stops"),
+        F.regexp_count("_t", F.lit(r"[!#*$%&|<>]{2,}")).alias("_n_marks"),
+        F.regexp_count("_t", F.lit(r"(?<![^\x20\x09-\x0D])[#*$%&|<>]++(?![^\x20\x09-\x0D])")).alias("_n_bare"))
     spots = ", ".join(f"_wh[i + {k}]" for k in range(WINDOW))
     df = df.withColumn("_win", F.expr(f"if(size(_wh) >= {WINDOW}, transform(sequence(0, size(_wh) - {WINDOW}), i -> xxhash64({spots})), array())"))
     df = df.withColumn("_again", F.expr("size(array_distinct(_win)) < size(_win)"))
@@ -111,6 +117,12 @@ class Accuracies:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
 
+def _smoothed(what: str, right: float, of: float) -> float:
+    """``right / of``, drawn to the starting value and held within bounds."""
+    low, high = BOUNDS[what]
+    return min(max((right + PRIOR_ROWS * START[what]) / (of + PRIOR_ROWS), low), high)
+
+
 def estimate(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> Accuracies:
     """Expectation maximisation over the vote patterns of ``votes``."""
     cols = [f"v_{r}" for r in names]
@@ -125,11 +137,9 @@ def estimate(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -
             aggs += [total("g", v > 0).alias(f"gr_{r}"), total("g", v != 0).alias(f"ga_{r}"),
                      total("b", v < 0).alias(f"br_{r}"), total("b", v != 0).alias(f"ba_{r}")]
         m = p.agg(*aggs).first()
-        mean = lambda right, all_, start: (right + PRIOR_ROWS * start) / (all_ + PRIOR_ROWS)
-        hold = lambda x, low: min(max(x, low), 0.995)
-        new = Accuracies(hold(mean(m["g"], m["n"], START["good"]), 0.5),
-                         {r: hold(mean(m[f"gr_{r}"], m[f"ga_{r}"], START["on_good"]), 0.6) for r in names},
-                         {r: hold(mean(m[f"br_{r}"], m[f"ba_{r}"], START["on_bad"]), 0.2) for r in names})
+        new = Accuracies(_smoothed("good", m["g"], m["n"]),
+                         {r: _smoothed("on_good", m[f"gr_{r}"], m[f"ga_{r}"]) for r in names},
+                         {r: _smoothed("on_bad", m[f"br_{r}"], m[f"ba_{r}"]) for r in names})
         moved = max(abs(new.good - now.good), *(abs(getattr(new, k)[r] - getattr(now, k)[r]) for k in ("on_good", "on_bad") for r in names))
         now = new
         if moved < 1e-3:
