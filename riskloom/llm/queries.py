@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskloom.llm import mixing, quality, sharding, warc
+from riskloom.llm import mixing, pii, quality, sharding, warc
 
 QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_sharding": sharding.op4_sharding,
+    "op6_pii": pii.op6_pii,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_mixing_sources_to_target_weights": mixing.op10_mixing_sources_to_target_weights,
 }
