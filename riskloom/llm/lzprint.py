@@ -34,39 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import table, text_or_empty
+from riskloom.llm.textvec import mix64, run_hashes
 
 K = 128                    # hashes in a fingerprint
 RANGES_PER_PARTITION = 8   # id ranges per shuffle partition
 BATCH_ROWS = 256
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser, element by element."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2 ** 64, grown as needed."""
-
-    def __init__(self):
-        self.n = 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 14)
-            ones = np.full(self.n, _BASE, np.uint64), np.full(self.n, _INVERSE, np.uint64)
-            ones[0][0] = ones[1][0] = 1
-            self.up, self.down = (np.cumprod(x, dtype=np.uint64) for x in ones)
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
 
 
 def phrase_ends(text: str, start: int, known: set[str], ends: list[int], stop: int) -> int:
@@ -91,13 +63,9 @@ def smallest_hashes(text: str, ends: list[int], k: int = K) -> np.ndarray:
     if not ends:
         return np.empty(0, np.uint32)
     codes = np.frombuffer(text[:ends[-1]].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    up, down = _powers.upto(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix64(codes + np.uint64(1)) * up[:-1], out=sums[1:])
-    e = np.array(ends)
-    s = np.concatenate(([0], e[:-1]))
-    hashes = (mix64((sums[e] - sums[s]) * down[s]) >> np.uint64(32)).astype(np.uint32)
-    return np.unique(hashes)[:k]
+    to = np.array(ends)
+    hashes = run_hashes(mix64(codes + np.uint64(1)), np.concatenate(([0], to[:-1])), to)
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:k]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
