@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +40,11 @@ def text_or_empty(col: Column | str) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words (``WORD``); null text: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def sum_slices(group: pa.Table) -> pa.Table:
+    """For ``groupBy(...).applyInArrow``: one row with the element-wise sum of
+    the group's ``counts`` (arrays of one length), the other columns as in the
+    first row.  A group has one row per task that counted."""
+    total = group.column("counts").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1).sum(0)
+    return pa.table({c: pa.array([total], pa.list_(pa.int64())) if c == "counts" else group.column(c)[:1] for c in group.column_names})
