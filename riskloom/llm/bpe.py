@@ -223,25 +223,30 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str =
     return rows.mapInArrow(run, rows.select("_row", F.lit("").alias(text_col)).schema).select("_row.*", text_col)
 
 
-def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number of ids, their digest, and the digest of the text
-    decoded from them.  The ids stay in the task."""
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per document: number of ids, their digest, the digest of the text
+    decoded from them and, ``with_ids``, the ids themselves."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches):
         bpe = loaded(shared.value)
         for part, texts in _text_batches(batches, "_text"):
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, listed = [], [], [], []
             for t in texts:
                 parts = bpe.parts(t or "")
-                n.append(sum([p[0] for p in parts]))
-                ids_sha.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                back = bpe.decode([i for p in parts for i in p[2]])
-                text_sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                                             [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = [i for p in parts for i in p[2]]
+                n.append(len(ids))
+                ids_sha.append(sha(",".join([p[1] for p in parts])))
+                text_sha.append(sha(bpe.decode(ids)))
+                if with_ids:
+                    listed.append(ids)
+            cols = [part.column("_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(listed, pa.list_(pa.int32()))] * with_ids, names)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    kinds = dict(zip(names[1:], ["long", "string", "string", "array<int>"]))
+    schema = rows.select(F.col("_id").alias(id_col), *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).schema
     return rows.mapInArrow(run, schema)
 
 

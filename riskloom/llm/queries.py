@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskloom.llm import bpe, jaccard, langid, lzprint, mixing, pii, quality, sharding, warc
+from riskloom.llm import bpe, jaccard, langid, lines, lzprint, mixing, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_document_fingerprints": lzprint.op1_document_fingerprints,
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_warc": warc.op3_warc,
     "op4_sharding": sharding.op4_sharding,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_pii": pii.op6_pii,
     "op7_language_id": langid.op7_language_id,
     "op8_bpe_encoding_and_decoding": bpe.op8_bpe_encoding_and_decoding,
@@ -16,4 +17,6 @@ QUERIES = {
     "op10_mixing_sources_to_target_weights": mixing.op10_mixing_sources_to_target_weights,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup": lines.SQL,
+}
