@@ -6,8 +6,9 @@ capacities a minimum-cost flow says how many bytes go from which shard to
 which; staying costs nothing, so it moves the fewest bytes.  Along a shard's
 line of blocks the flow marks off intervals: most blocks lie inside one and
 stay or move whole, the few that an interval's end cuts are split document by
-document.  A second, tiny flow over the documents of these affected blocks,
-smallest first, evens out what whole documents left over.  Only affected
+document.  A second, tiny flow over the documents of the split blocks (and of
+one moved block per receiving shard), smallest first, evens out what whole
+documents left over.  Only affected
 blocks are rewritten; the other files stay as they are.
 
 The driver sees one row per shard.  Windows run within a block or over block
@@ -25,6 +26,7 @@ from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskloom.llm.common import ROW, table, text_or_empty
 from riskloom.session import cut_lineage, scratch_path
@@ -32,6 +34,7 @@ from riskloom.session import cut_lineage, scratch_path
 BLOCK_BYTES = 64 << 20   # a block holds about so many bytes at most,
 BLOCKS_PER_SHARD = 16    # and a shard at least so many blocks
 RANK_ROWS = 50_000       # rows per numbering window, on average
+CODEC = "zstd"           # of the shards' files
 OLD_SHARDS, NEW_SHARDS = 12, 16
 
 
@@ -106,19 +109,27 @@ class Layout:
     and one folder of rewritten blocks."""
 
     spark: SparkSession
+    row: StructType             # the documents' columns
     blocks: str                 # shard=i/block=k/...: the row, its size and hash
     dropped: DataFrame | None   # (shard, block) no longer valid in ``blocks``
     rewritten: str | None       # shard=j/...
     flow: list[list[int]] | None = None
 
+    def stored(self, path: str, *parts: str) -> DataFrame:
+        """The files below ``path``; an empty table has none to take a schema from."""
+        schema = StructType().add(ROW, self.row).add("_h", "long").add("_size", "long")
+        for p in parts:
+            schema = schema.add(p, "integer")
+        return self.spark.read.schema(schema).parquet(path)
+
     def read(self) -> DataFrame:
         """Every row as (``_row``, _h, _size, shard)."""
-        old = self.spark.read.parquet(self.blocks)
+        old = self.stored(self.blocks, "shard", "block")
         if self.dropped is None:
             return old.select(ROW, "_h", "_size", "shard")
         gone = self.dropped.select(F.col("shard").alias("_gs"), F.col("block").alias("_gb"))
         kept = old.join(gone, (F.col("shard") == F.col("_gs")) & (F.col("block") == F.col("_gb")), "left_anti")
-        new = self.spark.read.parquet(self.rewritten)
+        new = self.stored(self.rewritten, "shard")
         return kept.select(ROW, "_h", "_size", "shard").unionByName(new.select(ROW, "_h", "_size", "shard"))
 
 
@@ -129,14 +140,14 @@ def write_shards(df: DataFrame, shard: Column, path: str, id_col: str = "doc_id"
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), shard.cast("int").alias("shard"),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("_size"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"))
-    total = rows.groupBy("shard").agg(F.sum("_size").alias("b")).agg(F.sum("b"), F.count(F.lit(1))).first()
-    each = max(1, min(block_bytes, (total[0] or 0) // max(1, total[1] * blocks_per_shard)))
-    sizes = rows.groupBy("shard").agg(F.sum("_size").alias("_b")).select(
-        F.col("shard").alias("_s"), F.ceil(F.col("_b") / each).cast("long").alias("_n"))
+    # one row per shard; as a local table it is joined without shuffling the texts
+    per_shard = [(r[0], r[1]) for r in rows.groupBy("shard").agg(F.sum("_size")).collect()]
+    each = max(1, min(block_bytes, sum(b for _, b in per_shard) // max(1, len(per_shard) * blocks_per_shard)))
+    sizes = df.sparkSession.createDataFrame([(s, -(-b // each)) for s, b in per_shard], "_s int, _n long")
     placed = (rows.join(sizes, F.col("shard") == F.col("_s"))
               .withColumn("block", F.pmod(F.shiftright("_h", 8), F.col("_n")).cast("int")).drop("_s", "_n"))
-    (placed.repartition("shard", "block").write.partitionBy("shard", "block").parquet(path))
-    return Layout(df.sparkSession, path, None, None)
+    placed.repartition("shard", "block").write.partitionBy("shard", "block").option("compression", CODEC).parquet(path)
+    return Layout(df.sparkSession, rows.schema[ROW].dataType, path, None, None)
 
 
 def _marks(spark: SparkSession, flow: list[list[int]], moves_first: bool) -> DataFrame:
@@ -191,33 +202,37 @@ def reshard(layout: Layout, path: str, shards: int, cost=None) -> Layout:
     """``layout`` dealt to ``shards`` shards of equal capacity; the blocks the
     flow touches are written anew below ``path``."""
     spark = layout.spark
-    old = spark.read.parquet(layout.blocks)
+    old = layout.stored(layout.blocks, "shard", "block")
     narrow = old.select("shard", "block", "_size", "_h")
     n_old = max([r[0] for r in narrow.groupBy("shard").count().collect()], default=-1) + 1
     before = _per_shard(narrow, "shard", n_old)
     caps = equal_capacities(sum(before), shards)
     flow = min_cost_flow(before, caps, cost)
-    first = _assign(narrow, "block", ["_h"], flow)
-    touched = cut_lineage(first.groupBy("shard", "block").agg(F.max((F.col("_new") != F.col("shard")) | F.col("_cut")).alias("_t"))
-                          .filter("_t").select("shard", "block"), "touched")
-    t = touched.select(F.col("shard").alias("_ts"), F.col("block").alias("_tb"))
+    first = cut_lineage(_assign(narrow, "block", ["_h"], flow), "first")
+    touched = cut_lineage(first.groupBy("shard", "block").agg(F.max("_cut").alias("cut"), F.max("_new").alias("to"))
+                          .filter("cut or to != shard"), "touched")
+    # dealt document by document: the split blocks, and of the blocks moved whole one per receiving shard
+    loose = touched.filter("not cut").groupBy("to").agg(F.min(F.struct("shard", "block")).alias("b")).select("b.shard", "b.block")
+    loose = touched.filter("cut").select("shard", "block").unionByName(loose).select(F.col("shard").alias("_ts"), F.col("block").alias("_tb"))
+    loose = cut_lineage(loose, "loose")
     on = (F.col("shard") == F.col("_ts")) & (F.col("block") == F.col("_tb"))
+    moved = touched.filter("not cut").join(loose, on, "left_anti").select(F.col("shard").alias("_ts"), F.col("block").alias("_tb"), "to")
     # rows with one hash are copies: they go together
-    moved = cut_lineage(first.join(t, on, "left_semi").groupBy("shard", "block", "_h")
-                        .agg(F.min("_new").alias("_new"), F.sum("_size").alias("_size")), "moved")
-    still = narrow.join(t, on, "left_anti")
-    now = [a + b for a, b in zip(_per_shard(moved, "_new", shards), (_per_shard(still, "shard", max(shards, n_old)) + [0] * shards)[:shards])]
-    again = moved.select(F.col("_new").alias("shard"), F.col("shard").alias("_s0"), F.col("block").alias("_b0"), "_size", "_h")
+    split = cut_lineage(first.join(loose, on, "left_semi").groupBy("shard", "block", "_h")
+                        .agg(F.min("_new").alias("_new"), F.sum("_size").alias("_size")), "split")
+    now = [a + b for a, b in zip(_per_shard(first.join(loose, on, "left_anti"), "_new", shards), _per_shard(split, "_new", shards))]
+    again = split.select(F.col("_new").alias("shard"), F.col("shard").alias("_s0"), F.col("block").alias("_b0"), "_size", "_h")
     # smallest first: the line's blocks are size classes, split by hash
-    fine = max(1, -(-moved.count() // (RANK_ROWS * shards)))
+    fine = max(1, -(-split.count() // (RANK_ROWS * shards)))
     again = again.withColumn("_class", (F.floor(F.log2("_size")) * fine + F.pmod("_h", F.lit(fine))).cast("long"))
     second = _assign(again, "_class", ["_size", "_h"], min_cost_flow(now, caps, cost), moves_first=True)
     final = second.select(F.col("_s0").alias("_fs"), F.col("_b0").alias("_fb"), F.col("_h").alias("_fh"), "_new")
-    rows = (old.join(t, on, "left_semi")
-            .join(final, (F.col("shard") == F.col("_fs")) & (F.col("block") == F.col("_fb")) & (F.col("_h") == F.col("_fh")))
-            .select(ROW, "_h", "_size", F.col("_new").alias("shard")))
-    rows.write.partitionBy("shard").parquet(path)
-    return Layout(spark, layout.blocks, touched, path, flow)
+    whole = old.join(moved, on).select(ROW, "_h", "_size", F.col("to").alias("shard"))
+    parted = (old.join(loose, on, "left_semi")
+              .join(final, (F.col("shard") == F.col("_fs")) & (F.col("block") == F.col("_fb")) & (F.col("_h") == F.col("_fh")))
+              .select(ROW, "_h", "_size", F.col("_new").alias("shard")))
+    whole.unionByName(parted).write.partitionBy("shard").option("compression", CODEC).parquet(path)
+    return Layout(spark, layout.row, layout.blocks, touched.select("shard", "block"), path, flow)
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
