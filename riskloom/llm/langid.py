@@ -9,8 +9,9 @@ Viterbi over the words of a text, with a penalty for each switch, labels its
 spans; the language with the most letters is the prediction.
 
 Most texts are of one language.  If no stretch of words prefers some other
-language by more than the penalty, no switch can pay and the path is constant;
-only the other texts go through the full recursion.
+language by more than the penalty (nor a beginning and an end together), no
+switch can pay and the path is constant; only other texts go through the full
+recursion.
 
 The model's size is fixed by ``bits`` and the number of languages; counting
 sums dense slices per task, and one table of that size reaches the driver.
@@ -184,20 +185,30 @@ def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def _may_switch(s: np.ndarray, doc: np.ndarray, first: np.ndarray, base: np.ndarray, switch: float) -> np.ndarray:
-    """Per text (words ``first`` on): whether some stretch of words prefers
-    another language to ``base`` by more than ``switch``."""
-    out = np.zeros(len(first), bool)
+    """Per text (words ``first`` on): whether a path with switches could beat
+    the constant path ``base``, the best of the constant ones.
+
+    Away from ``base`` a path's k stretches cost k switches or more, unless
+    they fill the whole text: then k - 1, and the first and last stretch begin
+    and end it.  So none pays if no stretch gains more than a switch, nor a
+    beginning and an end together.
+    """
+    n = np.diff(np.append(first, len(s)))
+    last = first + n - 1
+    gain, head, tail = np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(first))
     own = s[np.arange(len(s)), base]
-    no = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
+    # a falling offset per text resets the running minimum
+    drop = np.repeat(np.arange(len(first)), n) * (2 * CLIP * (len(s) + 1))
     for k in range(s.shape[1]):
         d = s[:, k] - own
         sums = np.cumsum(d)
         before = sums - d
-        # smallest sum before any word of the same text: a falling offset per text resets the running minimum
-        drop = no * (2 * CLIP * (len(s) + 1))
         low = np.minimum.accumulate(before - drop) + drop
-        out |= np.maximum.reduceat(sums - low, first) > switch
-    return out
+        gain = np.maximum(gain, np.maximum.reduceat(sums - low, first))
+        head = np.maximum(head, np.maximum.reduceat(sums, first) - before[first])
+        tail = np.maximum(tail, sums[last] - np.minimum.reduceat(before, first))
+    # a little less than the penalty: sums over many words are rounded
+    return (gain > switch - 1e-6) | (head + tail > switch - 1e-6)
 
 
 def spans_of(data: np.ndarray, offsets: np.ndarray, model: Model, switch: float = SWITCH):

@@ -5,7 +5,7 @@ On top, generators of high recall propose overlapping spans: looser addresses,
 any long run of digits and separators, dotted quads, card-like groups.  Each
 proposal gets features of its format and of the text around it; gradient
 boosted trees (pyspark.ml, which runs in the JVM) learn from the proposals
-that the base rules confirm against those they don't, without seeing the mark
+that the base rules confirm against those they reject, without seeing the mark
 that makes the rule certain (a phone's plus sign, an address's @).  Per kind,
 the lowest score at which held-out proposals are right often enough is the
 threshold; proposals above it that touch no base span are added.
@@ -83,8 +83,8 @@ def _digits(m: str) -> str:
 
 def _luhn(d: str) -> str:
     """SQL: whether the string of digits ``d`` passes the Luhn check."""
-    v = f"cast(substring({d}, -i, 1) as int)"
-    return (f"aggregate(sequence(1, length({d})), 0, (a, i) -> a + if(i % 2 = 1, {v}, if({v} > 4, 2 * {v} - 9, 2 * {v}))) % 10 = 0")
+    v = f"coalesce(try_cast(substring({d}, -i, 1) as int), 0)"   # also evaluated, to no effect, where there are no digits
+    return (f"aggregate(sequence(1, greatest(length({d}), 1)), 0, (a, i) -> a + if(i % 2 = 1, {v}, if({v} > 4, 2 * {v} - 9, 2 * {v}))) % 10 = 0")
 
 
 def _octets(m: str) -> str:
@@ -124,6 +124,13 @@ def proposals(df: DataFrame) -> DataFrame:
     return df.withColumn("_found", F.expr(f"array_distinct(concat({', '.join(each)}))"))
 
 
+#: Whether a proposal is by itself what the base rule accepts (kind, m).
+_CERTAIN = " or ".join([
+    "(kind = 0 and m rlike r'^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++$')",
+    f"(kind = 1 and m rlike r'^[0-9]+([.][0-9]+){{3}}$' and {_octets('m')})",
+    f"(kind = 2 and m rlike r'^[0-9](?:[\x20-]?[0-9])++$' and length({_digits('m')}) between 16 and 19 and {_luhn(_digits('m'))})",
+    f"(kind = 3 and m rlike r'^[+][0-9][\x20().0-9-]+[0-9]$' and length({_digits('m')}) between 8 and 15)"])
+
 # ----------------------------------------------------------------- features --
 
 def features() -> dict[str, Column]:
@@ -146,7 +153,7 @@ def features() -> dict[str, Column]:
         "left_digits": F.length(F.regexp_replace("left", "[^0-9]", "")).cast("double"),
         "right_digits": F.length(F.regexp_replace("right", "[^0-9]", "")).cast("double"),
         "hint": F.expr("case " + " ".join(f"when kind = {no} then left rlike r'{HINT[k]}'" for no, k in enumerate(KINDS)) + " end").cast("double"),
-        "number_is_years": flag(d.rlike(r"^(?:(?:19|20)[0-9]{2}){2,}$")),
+        "number_is_years": flag(d.rlike(r"^(?:(?:19|20)[0-9]{2}){2,}+$")),
     }
     return out
 
@@ -185,12 +192,17 @@ def fit(rows: DataFrame, names: list[str], train_rows: int = TRAIN_ROWS, precisi
             .agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect())
     for kind in range(len(KINDS)):
         right = n = 0
-        for r in sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["bin"]):
+        own, lowest = sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["bin"]), None
+        for i, r in enumerate(own):
             right, n = right + r["right"], n + r["n"]
-            if n >= MIN_SUPPORT and right >= precision * n:
-                booster.thresholds[kind] = r["bin"] / SCORE_BINS
-            elif n >= MIN_SUPPORT:
+            if n >= MIN_SUPPORT and right < precision * n:
                 break
+            if n >= MIN_SUPPORT:
+                lowest = i
+        if lowest is not None:
+            # half way down to the next scores seen, but not below even odds
+            below = own[lowest + 1]["bin"] + 1 if lowest + 1 < len(own) else 0
+            booster.thresholds[kind] = max(0.5, (own[lowest]["bin"] + below) / 2 / SCORE_BINS)
     return booster
 
 
@@ -213,11 +225,13 @@ def find(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, t
     rows = cut_lineage(rows, "pii")
     feats = features()
     flat = (rows.filter("size(_found) > 0").select("_key", "_base", F.explode("_found").alias("c")).select("_key", "_base", "c.*")
-            .select("_key", "_base", "kind", "s", "e", *[v.alias(k) for k, v in feats.items()])
+            .select("_key", "_base", "kind", "s", "e", F.expr(_CERTAIN).alias("_certain"), *[v.alias(k) for k, v in feats.items()])
             .withColumn("label", F.expr("cast(exists(_base, b -> b.kind = kind and b.s = s and b.e = e) as double)"))
+            # right by itself, but lost in a longer match of the base pattern: no example of either kind
+            .withColumn("label", F.expr("if(_certain and label = 0.0, null, label)")).drop("_certain")
             .withColumn("_pick", F.xxhash64("_key", "kind", "s", "e")))
     flat = cut_lineage(flat, "proposals")
-    booster = fit(flat.drop("_base"), list(feats), train_rows)
+    booster = fit(flat.filter("label is not null").drop("_base"), list(feats), train_rows)
     out = rows.withColumn("_more", F.expr("cast(array() as array<struct<score:double,kind:int,s:int,e:int>>)"))
     if booster.thresholds:
         free = flat.filter("not exists(_base, b -> b.s < e and s < b.e)").drop("_base")
