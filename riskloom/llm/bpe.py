@@ -4,7 +4,8 @@ A pair of bytes that stands inside no token of the vocabulary can never be
 merged over, so a token must end between them: the text may be cut there
 before any merge is looked at.  A piece of the tokenizer's own splitting
 pattern is cut at such pairs, each fragment is encoded by itself, and the ids
-are concatenated.  Fragments are short and recur, so encoded pieces are kept
+are concatenated.  Fragments are short and recur: the new pieces of a batch of
+texts are encoded together with numpy, a merge per fragment and round, and kept
 in a cache of bounded size (two generations; the older one is dropped when the
 younger is full).
 
@@ -49,22 +50,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _slices(items: list, size: int):
+    return (items[i:i + size] for i in range(0, len(items), size))
+
+
 class _Pieces(dict):
-    """Piece -> (number of ids, ids joined by commas, ids); misses are encoded."""
+    """Piece -> (number of ids, ids joined by commas, ids), two generations."""
 
-    def __init__(self, encode, limit: int):
-        self.encode, self.limit, self.old = encode, limit, {}
+    def __init__(self, limit: int):
+        self.limit, self.old = limit, {}
 
-    def __missing__(self, piece: str):
-        got = self.old.get(piece)
-        if got is None:
-            ids = self.encode(piece.encode("utf-8", "surrogatepass"))
-            got = (len(ids), ",".join(map(str, ids)), ids)
+    def put(self, piece: str, ids: list[int]) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[piece] = got
-        return got
+        self[piece] = (len(ids), ",".join(map(str, ids)), tuple(ids))   # tuples of plain values cost the garbage collector nothing
+
+    def lookup(self, piece: str):
+        return self.get(piece) or self.old.get(piece)
 
 
 class Bpe:
@@ -86,12 +89,17 @@ class Bpe:
                 self.byte_id[raw[0]] = i
             b = np.frombuffer(raw, np.uint8)
             self.joined[b[:-1], b[1:]] = True
+        self.every_byte = None not in self.byte_id
         self.joined_flat = self.joined.tobytes()
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.pieces_of = regex.compile(PIECE).findall
-        self.pieces = _Pieces(self.encode_piece, cache_pieces)
+        self.pieces = _Pieces(cache_pieces)
+        order = np.argsort(np.fromiter(self.merges, np.int64, len(self.merges)))
+        self.keys = np.fromiter(self.merges, np.int64, len(self.merges))[order]
+        self.values = np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
+        self.byte_ids = np.array([-1 if i is None else i for i in self.byte_id], np.int64)
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut at every pair that stands inside no token."""
@@ -149,21 +157,106 @@ class Bpe:
             out += self.merge(f)
         return out
 
-    def parts(self, text: str) -> list[tuple[int, str, list[int]]]:
-        """The encoded pieces of a text in order."""
-        get = self.pieces.__getitem__
+    def merges_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and merged id of each pair, as in ``merges``; ``none`` where
+        there is no merge."""
+        if not len(self.keys):
+            return np.full(len(a), self.none)
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.none)
+
+    def encode_pieces(self, raw: list[bytes]) -> list[list[int]]:
+        """Ids of many short pieces at once: every fragment of every piece
+        merges its best pair in each round."""
+        n_piece = np.array([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids = self.byte_ids[data]
+        piece = np.repeat(np.arange(len(raw)), n_piece)
+        # a fragment ends with its piece or at a pair inside no token
+        same = (piece[1:] == piece[:-1]) & self.joined[data[:-1], data[1:]]
+        alive = np.ones(len(ids), bool)
+        here = np.arange(len(ids))                  # places still at work, fragment after fragment
+        follow = np.append(np.where(same, here[1:], -1), -1)
+        before = np.append(-1, np.where(same, here[:-1], -1))
+        value = np.full(len(ids), self.none)
+        pairs = np.flatnonzero(same)
+        value[pairs] = self.merges_of(ids[pairs], ids[pairs + 1])
+        start = np.flatnonzero(np.append(True, ~same))
+        frag = np.cumsum(np.append(True, ~same)) - 1
+        while len(here):
+            best = np.minimum.reduceat(value[here], start)
+            size = np.diff(np.append(start, len(here)))
+            hit = (value[here] == np.repeat(best, size)) & (value[here] != self.none)
+            at = here[hit]
+            if not len(at):
+                break
+            at = at[np.append(True, frag[at][1:] != frag[at][:-1])]      # leftmost in its fragment
+            gone = follow[at]
+            ids[at] = value[at] % self.size
+            alive[gone], value[gone] = False, self.none
+            follow[at] = follow[gone]
+            value[at] = self.none
+            right = at[follow[at] >= 0]
+            before[follow[right]] = right
+            value[right] = self.merges_of(ids[right], ids[follow[right]])
+            left = before[at]
+            has = left >= 0
+            value[left[has]] = self.merges_of(ids[left[has]], ids[at[has]])
+            # on with the fragments that had a merge, without the places merged away
+            going = np.zeros(frag[-1] + 1, bool)
+            going[frag[at]] = True
+            here = here[going[frag[here]] & alive[here]]
+            start = np.flatnonzero(np.append(True, frag[here][1:] != frag[here][:-1])) if len(here) else here
+        out, ends = ids[alive].tolist(), np.cumsum(np.bincount(piece[alive], minlength=len(raw))).tolist()
+        return [out[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn_pieces(self, pieces) -> None:
+        """Put pieces into the cache."""
+        short, raw, known = [], [], self.pieces.old
+        for p in pieces:
+            if (got := known.get(p)) is not None:
+                self.pieces.put(p, got[2])
+                continue
+            b = p.encode("utf-8", "surrogatepass")
+            if len(b) < LONG and self.every_byte:
+                short.append(p)
+                raw.append(b)
+            else:
+                self.pieces.put(p, self.encode_piece(b))
+        if raw:
+            for p, ids in zip(short, self.encode_pieces(raw)):
+                self.pieces.put(p, ids)
+
+    def split(self, text: str) -> list[str | int]:
+        """The pieces of a text; ids where an added token stands."""
         if self.marks is None or not self.marks.search(text):
-            return list(map(get, self.pieces_of(text)))
+            return self.pieces_of(text)
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += map(get, self.pieces_of(text[at:m.start()]))
-            i = self.added[m.group()]
-            out.append((1, str(i), [i]))
+            out += self.pieces_of(text[at:m.start()])
+            out.append(self.added[m.group()])
             at = m.end()
-        return out + list(map(get, self.pieces_of(text[at:])))
+        return out + self.pieces_of(text[at:])
+
+    def parts(self, texts: list[str]) -> list[list[tuple[int, str, list[int]]]]:
+        """The encoded pieces of each text in order."""
+        pieces = [self.split(t) for t in texts]
+        found = [list(map(self.pieces.get, p)) for p in pieces]
+        new = {x for p, f in zip(pieces, found) if None in f for x, y in zip(p, f) if y is None and isinstance(x, str)}
+        for some in _slices(sorted(new), self.pieces.limit):
+            self.learn_pieces(some)
+            for p, f in zip(pieces, found):
+                if None in f:
+                    f[:] = [self.pieces.lookup(x) if y is None and isinstance(x, str) else y for x, y in zip(p, f)]
+        if self.marks is not None:
+            for p, f in zip(pieces, found):
+                if None in f:
+                    f[:] = [(1, str(x), [x]) if y is None else y for x, y in zip(p, f)]   # added tokens
+        return found
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in self.parts(text or "") for i in p[2]]
+        return [i for p in self.parts([text or ""])[0] for i in p[2]]
 
     def decode(self, ids) -> str:
         get = self.bytes_of.get
@@ -203,7 +296,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
     def run(batches):
         bpe = loaded(shared.value)
         for part, texts in _text_batches(batches, "_text"):
-            ids = pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))
+            ids = pa.array([[i for p in parts for i in p[2]] for parts in bpe.parts([t or "" for t in texts])], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_row", ids_col])
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(text_col).alias("_text"))
     schema = rows.select("_row", F.array().cast("array<int>").alias(ids_col)).schema
@@ -234,8 +327,7 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         bpe = loaded(shared.value)
         for part, texts in _text_batches(batches, "_text"):
             n, ids_sha, text_sha, listed = [], [], [], []
-            for t in texts:
-                parts = bpe.parts(t or "")
+            for parts in bpe.parts([t or "" for t in texts]):
                 ids = [i for p in parts for i in p[2]]
                 n.append(len(ids))
                 ids_sha.append(sha(",".join([p[1] for p in parts])))

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
     "op5_line_dedup": lines.SQL,
 }

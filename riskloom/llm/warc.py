@@ -257,3 +257,23 @@ def op3_warc(spark, sf_dir):
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return page_records(read_warc(spark, path, with_payload=False))
+
+
+SQL = """
+with p as (select page_id, coalesce(html, '') as html, url from pages),
+d as (select *, sha1(html) as h from p),
+r as (select h, max(page_id) as top from d group by h),
+b as (
+  select d.page_id, strlen(d.html) as payload_bytes, d.url, r.top, d.page_id is not distinct from r.top as is_response,
+         array_to_string([['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+                          [strpos('0123456789abcdef', c)] for c in string_split(d.h, '')], '') as bits
+  from d join r on d.h = r.h)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         cast(1 + 16 * cast(substr(bits, 5 * i + 1, 1) as int) + 8 * cast(substr(bits, 5 * i + 2, 1) as int) + 4 * cast(substr(bits, 5 * i + 3, 1) as int)
+              + 2 * cast(substr(bits, 5 * i + 4, 1) as int) + cast(substr(bits, 5 * i + 5, 1) as int) as int), 1) for i in range(0, 32)], '') as payload_digest,
+       case when is_response then 'response' else 'revisit' end as record_type,
+       case when is_response then null else top end as refers_to,
+       url as target_uri
+from b
+"""

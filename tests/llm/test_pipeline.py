@@ -62,7 +62,7 @@ def test_empty_table(spark, empty):
         assert docs.count() == 0
 
 
-@pytest.mark.parametrize("name", ["op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_warc", "op5_line_dedup"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 

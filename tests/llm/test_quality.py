@@ -43,12 +43,12 @@ def test_estimates_find_the_bad_documents(spark):
             if rng.random() < 0.2:
                 votes.append(0)
             else:
-                votes.append((1 if rng.random() < 0.97 else -1) if good else (-1 if rng.random() < 0.6 else 1))
+                votes.append((1 if rng.random() < 0.992 else -1) if good else (-1 if rng.random() < 0.6 else 1))
         rows.append((good, *votes))
     df = spark.createDataFrame(rows, "good boolean, v_a int, v_b int, v_c int, v_d int")
     est = quality.estimate(df, names)
     assert abs(est.good - 0.85) < 0.05
-    assert all(abs(est.on_good[r] - 0.97) < 0.03 and abs(est.on_bad[r] - 0.6) < 0.15 for r in names)
+    assert all(abs(est.on_good[r] - 0.992) < 0.01 and abs(est.on_bad[r] - 0.6) < 0.15 for r in names)
     kept = df.withColumn("p", est.posterior()).collect()
     assert sum((r.p >= 0.5) == r.good for r in kept) > 0.95 * len(kept)
 
