@@ -3,8 +3,9 @@
 Large star: every larger neighbour of a node is linked to the smallest node
 around it.  Small star: so are the smaller neighbours and the node itself.
 Both keep the components, and the links turn into one star per component in
-about log(nodes) rounds.  Links stay in tables; the driver sees a count and a
-checksum per round.
+about log(nodes) rounds.  Links stay in tables (of files of ``FILE_ROWS`` links:
+they are few beside the documents); the driver sees a count, and per round
+whether the stars are complete.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from riskloom.session import cut_lineage
 
 MAX_ROUNDS = 60
+FILE_ROWS = 250_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -29,15 +31,20 @@ def _small_star(e: DataFrame) -> DataFrame:
     return pulled.unionByName(low.select(F.col("_n").alias("u"), F.col("_m").alias("v"))).distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Every node has one link, and leads to a node that has none."""
+    if not e.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return e.join(e.select(F.col("u").alias("_w")), F.col("v") == F.col("_w"), "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v) links -> (u, v): each linked node but the smallest of its
     component, with that smallest node."""
     e = cut_lineage(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    last = None
+    files = e.count() // FILE_ROWS + 2
     for _ in range(MAX_ROUNDS):
-        e = cut_lineage(_small_star(_large_star(e)), "links")
-        state = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == last:
+        if _settled(e):
             return e
-        last = state
+        e = cut_lineage(_small_star(_large_star(e)).coalesce(files), "links")
     raise RuntimeError("components did not settle")

@@ -3,28 +3,31 @@
 A document's set is its distinct shingles of five words, as 64-bit hashes.
 Two documents link when their sets' Jaccard index is at least 0.75.
 
-Candidates.  Two linked sets share a shingle among the first quarter of each
-in any common order of shingles.  The order puts shingles by how often they
+Candidates.  In any common order of shingles, two linked sets share one among
+the first seventh of the smaller and the first quarter of the larger.  The order puts shingles by how often they
 occur (a sketch of fixed size counts all of them, hashed), then by hash: the
 lines and passages that many documents share come last, so they bring nobody
 together who has more to offer.  Equal sets are one class from the start.
 
 Sizes.  Linked sets differ in size by at most 4 : 3, so classes are banded by
 size; links run within a band or to the next one.  Each class has a bitmap of
-its shingles' hashes, at least two bits per shingle.  A bit set on one side
+its shingles' hashes, at least eight bits per shingle.  A bit set on one side
 only is a shingle the other side lacks, so bit counts bound the overlap from
 above; pairs that the bound leaves possible are settled by intersecting the
 sorted arrays.
 
-Two rounds.  First every class is compared with the smallest class of its band
-under the same shingle: as many pairs as there are rows, however large the
-group, and enough to join up the groups of near copies.  Components are formed.
-Then, only under shingles that still hold several components, tiles of at most
-``TILE`` classes (band against band, hash block against hash block) compare
-bitmaps of classes in different components.  No link between different
-components is lost, and no pair inside a component is looked at again.
-
-Texts are read three times and shuffled at most once (those to be intersected).
+Rounds.  First every class is compared with one class of its band under the
+same shingle: as many pairs as there are rows, however large the group.
+Components are formed, and under the shingles that still hold several of them
+the classes are compared with one of them, chosen by hash, a few times over.
+That joins up groups of near copies without
+listing their pairs.  What is left goes through tiles of at most ``TILE``
+classes a side (band against band, hash block against hash block), which
+compare the bitmaps of all classes in different components.  So no link
+between components is lost, and no pair inside one is looked at again.
+
+Only texts to be intersected are shuffled; a table of bounded size (which of
+2 ** ``FILTER_BITS`` hash buckets hold one) sorts most others out beforehand.
 Links, classes and components stay in tables.
 
 Defined cases: null or blank texts have an empty set and link with nothing; a
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import sum_slices, table
-from riskloom.llm.components import components
+from riskloom.llm.components import FILE_ROWS, components
 from riskloom.llm.textvec import BYTE_VALUE, IS_SPACE, LOWER, chunks, mix64, run_hashes, runs
 from riskloom.session import cut_lineage
 
@@ -51,7 +54,11 @@ WORDS = 5
 MIN_JACCARD = (75, 100)     # as a fraction, so that the test is exact
 SKETCH_BITS = 20            # counters of the frequency sketch: 2 ** SKETCH_BITS
 SLICE = 1 << 14
-TILE = 1024                 # classes per side of a tile
+TILE = 1024                 # classes per side of a tile,
+TILE_SHINGLES = 4_000_000   # and shingles they have at most
+STAR_ROUNDS = 2             # rounds against single classes before the tiles
+FILTER_BITS = 18
+BITS_PER_SHINGLE = 2
 MIN_BITS, MAX_BITS = 64, 1 << 16
 
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -102,7 +109,7 @@ def class_ids(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    return int(min(MAX_BITS, max(MIN_BITS, 1 << (2 * max(int(n), 1) - 1).bit_length())))
+    return int(min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_SHINGLE * max(int(n), 1) - 1).bit_length())))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -114,11 +121,19 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def prefix_length(n):
-    """Shingles of which a linked set must share one: n - ceil(0.75 n) + 1."""
+    """Shingles of which the larger of two linked sets must share one:
+    n - ceil(0.75 n) + 1."""
     p, q = MIN_JACCARD
     return n - (n * p + q - 1) // q + 1
 
 
+def short_prefix_length(n):
+    """The same for the smaller set: the overlap is 2 t / (1 + t) of its size
+    at least, so n - ceil(6 n / 7) + 1."""
+    p, q = MIN_JACCARD
+    return n - (n * 2 * p + p + q - 1) // (p + q) + 1
+
+
 def band_of(n: np.ndarray) -> np.ndarray:
     """Sizes that differ by 4 : 3 at most are in one band or in neighbours."""
     p, q = MIN_JACCARD
@@ -199,8 +214,11 @@ def _prefixes(level_bc):
                 s, d = s[order], d[order]
                 begin = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
                 size = np.diff(np.append(begin, len(d)))
-                head = np.arange(len(d)) - np.repeat(begin, size) < np.repeat(prefix_length(size), size)
-                yield pa.RecordBatch.from_arrays([pa.array(s[head].view(np.int64)), pa.array(ids[d[head]]), pa.array(n[d[head]], pa.int32())], ["token", "cid", "n"])
+                place = np.arange(len(d)) - np.repeat(begin, size)
+                head = place < np.repeat(prefix_length(size), size)
+                short = (place < np.repeat(short_prefix_length(size), size))[head]
+                yield pa.RecordBatch.from_arrays([pa.array(s[head].view(np.int64)), pa.array(ids[d[head]]), pa.array(n[d[head]], pa.int32()), pa.array(short)],
+                                                 ["token", "cid", "n", "short"])
     return prefixes
 
 
@@ -217,13 +235,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (token, n, cid): the classes of every token that has two
     or more, each with the smallest class of its band under that token."""
-    names = ["token", "band", "cid", "n", "lead"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["token", "band", "cid", "n", "short", "lead"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
     # what the batches before left open: the last row, its token's first row if that is still alone, its band's leader
     last = held = None
     lead_key, lead_cid = None, 0
     for b in batches:
-        tok, cid, n = (b.column(c).to_numpy() for c in ("token", "cid", "n"))
+        tok, cid, n, short = (b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cid", "n", "short"))
         if not len(tok):
             continue
         band = band_of(n)
@@ -238,7 +256,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (tok[-1], cid[-1])
         if not len(keep):
             continue
-        tok, cid, n, band = tok[keep], cid[keep], n[keep], band[keep]
+        tok, cid, n, band, short = tok[keep], cid[keep], n[keep], band[keep], short[keep]
         same = np.zeros(len(tok), bool)
         same[1:] = tok[1:] == tok[:-1]
         open_token = lead_key[0] if lead_key else None
@@ -251,14 +269,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.where(idx >= 0, cid[np.maximum(idx, 0)], lead_cid)
         paired = same.copy()                    # has a neighbour under its token
         paired[:-1] |= same[1:]
-        out = [[], [], [], [], []]
+        out = [[] for _ in names]
         if same[0] and held is not None:
             for o, x in zip(out, held):
                 o.append(np.array([x]))
         held = None
         if not paired[-1]:
-            held = (tok[-1], band[-1], cid[-1], n[-1], lead[-1])
-        for o, x in zip(out, (tok, band, cid, n, lead)):
+            held = (tok[-1], band[-1], cid[-1], n[-1], short[-1], lead[-1])
+        for o, x in zip(out, (tok, band, cid, n, short, lead)):
             o.append(x[paired])
         lead_key, lead_cid = (tok[-1], band[-1]), lead[-1]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, types)], names)
@@ -305,10 +323,12 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not left or not right:
             return
         size = min(min(len(r[5]) for r in left), min(len(r[5]) for r in right))
-        side = [(np.array([r[2] for r in x]), np.array([r[3] for r in x], np.int64), np.array([r[4] for r in x]), as_words([r[5] for r in x], size)) for x in (left, right)]
-        (ac, an, ak, am), (bc, bn, bk, bm) = side
+        side = [(np.array([r[2] for r in x]), np.array([r[3] for r in x], np.int64), np.array([r[4] for r in x]), as_words([r[5] for r in x], size), np.array([r[6] for r in x]))
+                for x in (left, right)]
+        (ac, an, ak, am, ash), (bc, bn, bk, bm, bsh) = side
         for i in range(len(ac)):
-            apart = ak[i] != bk
+            # the smaller set has the token in its short prefix
+            apart = (ak[i] != bk) & (((an[i] <= bn) & ash[i]) | ((bn <= an[i]) & bsh))
             if rows[0][1] == 0:
                 apart &= bc > ac[i]
             at = np.flatnonzero(apart)
@@ -321,7 +341,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     tile, rows = None, []
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("tile", "side", "cid", "n", "comp", "bits")]
+        cols = [b.column(c).to_pylist() for c in ("tile", "side", "cid", "n", "comp", "bits", "short")]
         found = []
         for r in zip(*cols):
             if r[0] != tile:
@@ -360,35 +380,68 @@ class _Verifier:
         return rows.mapInArrow(_bounded, "a long, b long")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (a, b), distinct -> links (u, v)."""
-        pairs = cut_lineage(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_w")).distinct()
-        reps = cut_lineage(self.classes.join(wanted, F.col("cid") == F.col("_w"), "left_semi").select(F.col("th").alias("_rt"), F.col("id").alias("_ri")), "reps")
-        own = self.texts.join(reps, (F.col("th") == F.col("_rt")) & F.col("id").eqNullSafe(F.col("_ri")), "left_semi")
+        """Distinct ``pairs`` (a, b) of classes -> those that link, as (u, v)."""
+        pairs = cut_lineage(self.bounded(pairs), "pairs")
+        wanted = pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))).distinct()
+        reps = cut_lineage(self.classes.join(wanted, F.col("cid") == F.col("_w"), "left_semi")
+                           .select(F.col("th").alias("_rt"), F.col("id").alias("_ri")), "reps")
+        bucket = lambda c: F.pmod(F.col(c), F.lit(1 << FILTER_BITS))
+        # at most 2 ** FILTER_BITS rows, whatever the input
+        some = F.broadcast(reps.select(bucket("_rt").alias("_bucket")).distinct())
+        own = (self.texts.join(some, bucket("th") == F.col("_bucket"), "left_semi")
+               .join(reps, (F.col("th") == F.col("_rt")) & F.col("id").eqNullSafe(F.col("_ri")), "left_semi"))
         sets = cut_lineage(own.select("text").mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
         a = sets.select(F.col("cid").alias("_ac"), F.col("shingles").alias("a_set"))
         b = sets.select(F.col("cid").alias("_bc"), F.col("shingles").alias("b_set"))
         rows = pairs.join(a, F.col("a") == F.col("_ac")).join(b, F.col("b") == F.col("_bc")).select("a", "b", "a_set", "b_set")
-        return rows.mapInArrow(_linked, "u long, v long")
+        return cut_lineage(rows.mapInArrow(_linked, "u long, v long"), "links")
 
 
-def _tile_rows(groups: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (tile, side, cid, n, comp, bits) of the shingles that still hold
-    several components; of shingles with the very same classes, one."""
+def _relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows`` (token, band, cid, n, short) with comp, of the tokens that hold
+    several components and that some set has in its short prefix."""
     c = comp.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    rows = groups.join(c, F.col("cid") == F.col("_u"), "left").select("token", "band", "cid", "n", F.coalesce("_v", "cid").alias("comp"))
-    rows = cut_lineage(rows, "grouped")
-    of_token = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"),
-                                         F.sum(F.pmod(F.xxhash64("cid"), F.lit(1 << 40))).alias("sig"), F.bit_xor(F.xxhash64("cid")).alias("sig2")).filter("lo != hi")
-    picked = of_token.groupBy("c", "sig", "sig2").agg(F.min("token").alias("_t")).select("_t", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
-    rows = rows.join(picked, F.col("token") == F.col("_t")).select("token", "band", "cid", "n", "comp", "nb")
-    bits = classes.select(F.col("cid").alias("_bc"), "bits")
-    rows = rows.join(bits, F.col("cid") == F.col("_bc")).withColumn("i", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("nb")).cast("int"))
+    files = rows.count() // FILE_ROWS + 2
+    rows = rows.join(c, F.col("cid") == F.col("_u"), "left").select(
+        "token", "band", "cid", "n", "short", F.coalesce("_v", "cid").alias("comp"))
+    rows = cut_lineage(rows.coalesce(files), "labelled")
+    several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("short").alias("s")).filter("s and lo != hi").select(F.col("token").alias("_t"))
+    return cut_lineage(rows.join(several, F.col("token") == F.col("_t"), "left_semi").coalesce(files), "open")
+
+
+def _without_twins(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, cid, ...) with one token for each set of classes."""
+    h = F.xxhash64("cid")
+    sets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("s"), F.bit_xor(h).alias("x"))
+    picked = sets.groupBy("c", "s", "x").agg(F.min("token").alias("_t")).select("_t")
+    return rows.join(picked, F.col("token") == F.col("_t"), "left_semi")
+
+
+def _star_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """Under each token and in each band, one class chosen by hash, with every
+    class of another component: no more pairs than rows."""
+    mark = F.struct(F.xxhash64(F.lit(seed), "token", "cid").alias("h"), F.col("cid").alias("c"), F.col("comp").alias("p"))
+    lead = rows.groupBy(F.col("token").alias("_t"), F.col("band").alias("_b")).agg(F.min(mark).alias("lead"))
+    pairs = rows.join(lead, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b"))).filter(F.col("comp") != F.col("lead.p"))
+    return pairs.select(F.least("cid", "lead.c").alias("a"), F.greatest("cid", "lead.c").alias("b")).distinct()
+
+
+def _tile_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (token, band, cid, n, short, comp) dealt to tiles: (tile, side,
+    cid, n, short, comp, bits)."""
+    blocks = rows.groupBy(F.col("token").alias("_t")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.col("n").cast("long")) / TILE_SHINGLES)).cast("int").alias("nb"))
+    rows = rows.join(blocks, F.col("token") == F.col("_t")).withColumn("i", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("nb")).cast("int"))
     # block i of a band meets every block j of the same band (once) and of the next band up
-    return rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("to", F.explode(F.expr(
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("to", F.explode(F.expr(
         "array(named_struct('lo', band, 'kind', 0, 'x', least(i, j), 'y', greatest(i, j), 'side', if(i = j, 0, if(i < j, 1, 2))), "
         "named_struct('lo', band, 'kind', 1, 'x', i, 'y', j, 'side', 1), named_struct('lo', band - 1, 'kind', 1, 'x', j, 'y', i, 'side', 2))"))).select(
-        F.xxhash64("token", "to.lo", "to.kind", "to.x", "to.y").alias("tile"), F.col("to.side").alias("side"), "cid", "n", "comp", "bits")
+        F.xxhash64("token", "to.lo", "to.kind", "to.x", "to.y").alias("tile"), F.col("to.side").alias("side"), "cid", "n", "short", "comp")
+    rows = cut_lineage(rows, "tiles")
+    several = rows.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("side").alias("a"), F.max("side").alias("b")).filter(
+        "lo != hi and (a = 0 or a != b)").select(F.col("tile").alias("_tile"))
+    bits = classes.select(F.col("cid").alias("_bc"), "bits")
+    return rows.join(several, F.col("tile") == F.col("_tile"), "left_semi").join(bits, F.col("cid") == F.col("_bc")).drop("_bc")
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,17 +459,21 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = cut_lineage(docs.filter("n > 0").groupBy("cid").agg(
         F.first("n").alias("n"), F.max("bits").alias("bits"), F.min(F.struct("th", "id")).alias("_r")).select("cid", "n", "bits", "_r.th", "_r.id"), "classes")
     level = spark.sparkContext.broadcast(_frequency_levels(base))
-    tokens = texts.select("text").mapInArrow(_prefixes(level), "token long, cid long, n int")
+    tokens = texts.select("text").mapInArrow(_prefixes(level), "token long, cid long, n int, short boolean")
     groups = cut_lineage(tokens.repartition("token").sortWithinPartitions("token", "n", "cid")
-                         .mapInArrow(_groups, "token long, band int, cid long, n int, lead long"), "groups")
+                         .mapInArrow(_groups, "token long, band int, cid long, n int, short boolean, lead long"), "groups")
     verify = _Verifier(texts, classes)
-    first = groups.filter("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
-    links = cut_lineage(verify.links(verify.bounded(first)), "links")
-    comp = components(links)
-    tiles = _tile_rows(groups, comp, classes)
-    second = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").distinct()
-    more = verify.links(second)
-    comp = components(comp.unionByName(more))
+    comp = components(verify.links(groups.filter("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()))
+    rows = _without_twins(_relabelled(groups, comp))
+    for seed in range(STAR_ROUNDS):
+        links = verify.links(_star_pairs(rows, seed))
+        if links.isEmpty():
+            break
+        comp = components(comp.unionByName(links))
+        rows = _relabelled(rows, comp)
+    tiles = _tile_rows(rows, classes)
+    rest = verify.links(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").distinct())
+    comp = components(comp.unionByName(rest))
     c = comp.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     placed = docs.select("id", "th", "n", "cid").join(c, F.col("cid") == F.col("_u"), "left").select(
         "id", "th", F.col("n").cast("long").alias("n_shingles"), "cid", F.when(F.col("n") > 0, F.coalesce("_v", "cid")).alias("comp"))
