@@ -42,6 +42,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def driver_table(spark: SparkSession, rows: list, schema: str, broadcast_rows: int = 100_000) -> DataFrame:
+    """A table made on the driver (one row per shard, source or range).  Spark
+    takes such a table for large and would shuffle the texts it is joined
+    with, so it is marked for broadcast, unless it has too many rows for that."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= broadcast_rows else df
+
+
 def sum_slices(group: pa.Table) -> pa.Table:
     """For ``groupBy(...).applyInArrow``: one row with the element-wise sum of
     the group's ``counts`` (arrays of one length), the other columns as in the

@@ -33,7 +33,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import table, text_or_empty
+from riskloom.llm.common import driver_table, table, text_or_empty
 from riskloom.llm.textvec import mix64, run_hashes
 
 K = 128                    # hashes in a fingerprint
@@ -166,7 +166,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row per range: its first id, and the range it follows (the last one's successor is the first)
     firsts = sorted(tuple(r) for r in ranged.groupBy("_part").agg(F.min("_id").alias("_id")).collect())
     before = [(first, part, firsts[i - 1][0]) for i, (part, first) in enumerate(firsts)]
-    heads = spark.createDataFrame(before, "_hid long, _hpart int, _before int")
+    heads = driver_table(spark, before, "_hid long, _hpart int, _before int")
     sent = (ranged.join(heads, (F.col("_part") == F.col("_hpart")) & F.col("_id").eqNullSafe(F.col("_hid")), "left")
             .withColumn("_to", F.when(F.col("_hpart").isNull(), F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("r"))))
                         .otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("r")), F.struct(F.col("_before").alias("p"), F.lit(1).alias("r")))))

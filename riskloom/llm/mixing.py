@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import ROW, pack, table, unpack, word_count
+from riskloom.llm.common import ROW, driver_table, pack, table, unpack, word_count
 from riskloom.session import cut_lineage
 
 N_BLOCKS = 65_536       # blocks the corpus is cut into
@@ -144,7 +144,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         base = cut_lineage(base, "mix")
     stats = base.groupBy("_src", "_shard").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     plan = quota_plan([tuple(r) for r in stats], n_blocks, max_repeat, seed)
-    plan_df = spark.createDataFrame(plan, _PLAN)
+    plan_df = driver_table(spark, plan, _PLAN)
     n_buckets = max(1, -(-max([r["n"] for r in stats], default=0) // BUCKET_ROWS))
     src = F.col("_src")
     placed = (base.withColumnRenamed("_src", "_s").withColumnRenamed("_shard", "_sh")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from riskloom.llm.common import ROW, table, text_or_empty
+from riskloom.llm.common import ROW, driver_table, table, text_or_empty
 from riskloom.session import cut_lineage, scratch_path
 
 BLOCK_BYTES = 64 << 20   # a block holds about so many bytes at most,
@@ -140,10 +140,9 @@ def write_shards(df: DataFrame, shard: Column, path: str, id_col: str = "doc_id"
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), shard.cast("int").alias("shard"),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("_size"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"))
-    # one row per shard; as a local table it is joined without shuffling the texts
     per_shard = [(r[0], r[1]) for r in rows.groupBy("shard").agg(F.sum("_size")).collect()]
     each = max(1, min(block_bytes, sum(b for _, b in per_shard) // max(1, len(per_shard) * blocks_per_shard)))
-    sizes = df.sparkSession.createDataFrame([(s, -(-b // each)) for s, b in per_shard], "_s int, _n long")
+    sizes = driver_table(df.sparkSession, [(s, -(-b // each)) for s, b in per_shard], "_s int, _n long")
     placed = (rows.join(sizes, F.col("shard") == F.col("_s"))
               .withColumn("block", F.pmod(F.shiftright("_h", 8), F.col("_n")).cast("int")).drop("_s", "_n"))
     placed.repartition("shard", "block").write.partitionBy("shard", "block").option("compression", CODEC).parquet(path)
@@ -161,7 +160,7 @@ def _marks(spark: SparkSession, flow: list[list[int]], moves_first: bool) -> Dat
             at += b
             ends.append(at)
         rows.append((i, ends, [j for j, _ in parts]))
-    return spark.createDataFrame(rows, "_i int, _ends array<long>, _to array<int>")
+    return driver_table(spark, rows, "_i int, _ends array<long>, _to array<int>")
 
 
 def _target(at: str) -> Column:
