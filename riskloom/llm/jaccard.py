@@ -58,7 +58,7 @@ TILE = 1024                 # classes per side of a tile,
 TILE_SHINGLES = 4_000_000   # and shingles they have at most
 STAR_ROUNDS = 2             # rounds against single classes before the tiles
 FILTER_BITS = 18
-BITS_PER_SHINGLE = 2
+BITS_PER_SHINGLE = 8
 MIN_BITS, MAX_BITS = 64, 1 << 16
 
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -410,8 +410,9 @@ def _relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _without_twins(rows: DataFrame) -> DataFrame:
-    """``rows`` (token, cid, ...) with one token for each set of classes."""
-    h = F.xxhash64("cid")
+    """``rows`` (token, cid, short, ...) with one token for each set of classes
+    and of those that have it in their short prefix."""
+    h = F.xxhash64("cid", "short")
     sets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("s"), F.bit_xor(h).alias("x"))
     picked = sets.groupBy("c", "s", "x").agg(F.min("token").alias("_t")).select("_t")
     return rows.join(picked, F.col("token") == F.col("_t"), "left_semi")

@@ -148,6 +148,12 @@ def test_large_group_of_near_copies(spark, monkeypatch, rounds, tile):
     assert 2 < len({c for _, _, c in got}) < len(rows)
 
 
+def test_twins_agree_in_their_short_prefixes(spark):
+    rows = [(t, 0, c, 5, s) for t, flags in ((1, "tf"), (2, "ft"), (3, "tf"), (4, "tt")) for c, s in zip((7, 8), (x == "t" for x in flags))]
+    df = spark.createDataFrame(rows, "token long, band int, cid long, n int, short boolean")
+    assert sorted({r.token for r in jaccard._without_twins(df).collect()}) == [1, 2, 4]
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(1000 + i, 1001 + i) for i in range(40)]
