@@ -162,7 +162,8 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = rows.agg(F.percentile_approx(F.col("_id").cast("double"), [i / ranges for i in range(1, ranges)] or [0.5], 10 * max(ranges, 1000))).first()[0]
     splits = [-float("inf"), *sorted(set(cuts or [0.0])), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(
-        rows.withColumn("_x", F.col("_id").cast("double"))).select("_id", "_t", F.col("_b").cast("int").alias("_part"))
+        rows.withColumn("_x", F.col("_id").cast("double"))).select(
+        "_id", "_t", F.coalesce(F.col("_b").cast("int"), F.lit(len(splits))).alias("_part"))   # without id: a last range
     # one row per range: its first id, and the range it follows (the last one's successor is the first)
     firsts = sorted(tuple(r) for r in ranged.groupBy("_part").agg(F.min("_id").alias("_id")).collect())
     before = [(first, part, firsts[i - 1][0]) for i, (part, first) in enumerate(firsts)]
