@@ -41,8 +41,8 @@ def _recount(df: DataFrame) -> DataFrame:
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     model = langid.learn(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "text")
-    found = langid.predict(rows, model, keep=["row"]).filter(
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    found = langid.predict(rows, model, "row.text").filter(
         (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
     lang = F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang")
     return found.select(*[lang if c == "lang" else F.col("row")[c].alias(c) for c in cols])

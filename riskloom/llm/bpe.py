@@ -20,6 +20,7 @@ unknown ids to nothing.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import heapq
 import json
@@ -31,9 +32,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import table
+from riskloom.llm.common import small_batches, table
 
-CACHE_PIECES = 250_000   # per generation
+CACHE_PIECES = 80_000   # per generation
 LONG = 48                # bytes from which a fragment's merges go through a heap
 BATCH_ROWS = 256
 
@@ -66,6 +67,10 @@ class _Pieces(dict):
             self.clear()
         self[piece] = (len(ids), ",".join(map(str, ids)), tuple(ids))   # tuples of plain values cost the garbage collector nothing
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def lookup(self, piece: str):
         return self.get(piece) or self.old.get(piece)
 
@@ -266,13 +271,18 @@ class Bpe:
 _loaded: dict[str, Bpe] = {}
 
 
-def loaded(content: str) -> Bpe:
-    """One encoder per worker process and vocabulary."""
+@contextlib.contextmanager
+def loaded(content: str):
+    """One encoder per worker process and vocabulary; its cache lasts for a
+    task, as an idle worker should hold little memory."""
     key = hashlib.sha256(content.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Bpe(content)
-    return _loaded[key]
+    try:
+        yield _loaded[key]
+    finally:
+        _loaded[key].pieces.forget()
 
 
 def read_vocabulary(path: str) -> str:
@@ -290,14 +300,14 @@ def _text_batches(batches: Iterator[pa.RecordBatch], column: str):
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text_col``; an input column named ``ids_col``
     is replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = small_batches(df.sparkSession).sparkContext.broadcast(vocabulary)
     cols = [c for c in df.columns if c.lower() != ids_col.lower()]
 
     def run(batches):
-        bpe = loaded(shared.value)
-        for part, texts in _text_batches(batches, "_text"):
-            ids = pa.array([[i for p in parts for i in p[2]] for parts in bpe.parts([t or "" for t in texts])], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_row", ids_col])
+        with loaded(shared.value) as bpe:
+            for part, texts in _text_batches(batches, "_text"):
+                ids = pa.array([[i for p in parts for i in p[2]] for parts in bpe.parts([t or "" for t in texts])], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_row", ids_col])
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(text_col).alias("_text"))
     schema = rows.select("_row", F.array().cast("array<int>").alias(ids_col)).schema
     return rows.mapInArrow(run, schema).select("_row.*", ids_col)
@@ -305,13 +315,13 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids_col`` (null: empty)."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = small_batches(df.sparkSession).sparkContext.broadcast(vocabulary)
     cols = [c for c in df.columns if c.lower() != text_col.lower()]
 
     def run(batches):
-        bpe = loaded(shared.value)
-        for part, ids in _text_batches(batches, "_ids"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(i or []) for i in ids], pa.string())], ["_row", text_col])
+        with loaded(shared.value) as bpe:
+            for part, ids in _text_batches(batches, "_ids"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(i or []) for i in ids], pa.string())], ["_row", text_col])
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(ids_col).cast("array<int>").alias("_ids"))
     return rows.mapInArrow(run, rows.select("_row", F.lit("").alias(text_col)).schema).select("_row.*", text_col)
 
@@ -319,23 +329,23 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str =
 def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per document: number of ids, their digest, the digest of the text
     decoded from them and, ``with_ids``, the ids themselves."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = small_batches(df.sparkSession).sparkContext.broadcast(vocabulary)
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches):
-        bpe = loaded(shared.value)
-        for part, texts in _text_batches(batches, "_text"):
-            n, ids_sha, text_sha, listed = [], [], [], []
-            for parts in bpe.parts([t or "" for t in texts]):
-                ids = [i for p in parts for i in p[2]]
-                n.append(len(ids))
-                ids_sha.append(sha(",".join([p[1] for p in parts])))
-                text_sha.append(sha(bpe.decode(ids)))
-                if with_ids:
-                    listed.append(ids)
-            cols = [part.column("_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(listed, pa.list_(pa.int32()))] * with_ids, names)
+        with loaded(shared.value) as bpe:
+            for part, texts in _text_batches(batches, "_text"):
+                n, ids_sha, text_sha, listed = [], [], [], []
+                for parts in bpe.parts([t or "" for t in texts]):
+                    ids = [i for p in parts for i in p[2]]
+                    n.append(len(ids))
+                    ids_sha.append(sha(",".join([p[1] for p in parts])))
+                    text_sha.append(sha(bpe.decode(ids)))
+                    if with_ids:
+                        listed.append(ids)
+                cols = [part.column("_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(listed, pa.list_(pa.int32()))] * with_ids, names)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kinds = dict(zip(names[1:], ["long", "string", "string", "array<int>"]))
     schema = rows.select(F.col("_id").alias(id_col), *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).schema

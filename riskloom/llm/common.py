@@ -33,6 +33,17 @@ def unpack(df: DataFrame, row_columns: list[str], *added: Column | str) -> DataF
     return df.select(*[F.col(ROW)[c].alias(c) for c in row_columns if c.lower() not in names], *extra)
 
 
+#: Rows that Spark hands to a Python task at once.  Texts may be long: by
+#: default it would be 10,000, and a batch lives in the JVM and in the task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Set the size of Arrow batches for what is run on texts from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

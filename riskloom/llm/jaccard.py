@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import sum_slices, table
+from riskloom.llm.common import small_batches, sum_slices, table
 from riskloom.llm.components import FILE_ROWS, components
 from riskloom.llm.textvec import BYTE_VALUE, IS_SPACE, LOWER, chunks, mix64, run_hashes, runs
 from riskloom.session import cut_lineage
@@ -164,7 +164,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     seen: set[int] = set()
     names = ["id", "th", "n", "cid", "bits", "slice", "counts"]
-    id_type = None
+    id_type, held, n_held = None, [], 0
+
+    def count():
+        nonlocal counts, held, n_held
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
+        held, n_held = [], 0
     for b in batches:
         id_type = b.schema.field("id").type
         for first, to, data, offsets in chunks(b.column("text")):
@@ -177,13 +183,17 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(c)
                     fresh[i] = True
             bucket = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            counts += np.bincount(bucket[np.repeat(fresh, n)], minlength=len(counts))
+            held.append(bucket[np.repeat(fresh, n)].astype(np.int32))
+            n_held += len(held[-1])
+            if n_held > 1_000_000:
+                count()
             # a class's bitmap is needed once; every task gives it with the first text it sees of the class
             maps = [bitmap(s[at[i]:at[i + 1]]) if fresh[i] else None for i in range(to - first)]
             rows = to - first
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").slice(first, rows), b.column("th").slice(first, rows), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()),
                  pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int64()))], names)
+    count()
     for no in range(0, len(counts) if id_type is not None else 0, SLICE):
         part = counts[no:no + SLICE]
         if part.any():
@@ -449,7 +459,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of ``df``: id, th (hash of the text), n_shingles, cid (class of
     equal sets), comp (component, null for empty sets), component_id (smallest
     id in it)."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = texts.select("id", "th", F.lit(0).alias("n"), F.lit(0).cast("long").alias("cid"), F.lit(None).cast("binary").alias("bits"),
                           F.lit(None).cast("int").alias("slice"), F.lit(None).cast("array<long>").alias("counts")).schema

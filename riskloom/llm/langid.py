@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import sum_slices, table
+from riskloom.llm.common import small_batches, sum_slices, table
 from riskloom.llm.textvec import BYTE_VALUE, LOWER, chunks, run_hashes, runs
 
 BITS = 17               # hashed features per language: 2 ** BITS
@@ -106,7 +106,7 @@ def _counts(bits: int):
         seen: dict[str, np.ndarray] = {}
         for b in batches:
             lang = np.array(b.column("_lang").to_pylist(), object)
-            for first, to, data, offsets in chunks(b.column("_text")):
+            for first, to, data, offsets in chunks(b.column("_text"), 1 << 20):
                 w = words_in(data, offsets, bits)
                 per_doc = lang[first:to]
                 for name in set(per_doc):
@@ -136,6 +136,7 @@ class Model:
 
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", bits: int = BITS) -> Model:
     """The model of all texts of ``df`` that have a language."""
+    small_batches(df.sparkSession)
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     schema = "lang string, slice int, counts array<long>"
     slices = rows.mapInArrow(_counts(bits), schema).groupBy("lang", "slice").applyInArrow(sum_slices, schema)
@@ -229,13 +230,15 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, model: Model, switch: float
     return w, path, sums, first, w.doc[first]
 
 
-def _label(model_bc, switch: float, with_spans: bool):
+def _label(model_bc, switch: float, with_spans: bool, path_to_text: list[str]):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = model_bc.value
         names, m = np.array([*model.langs, UNKNOWN], object), len(model.langs)
-        step = max(1 << 16, (1 << 22) // max(4, m))
+        step = max(1 << 16, (1 << 20) // max(4, m))
         for b in batches:
-            texts = b.column("_text")
+            texts = b.column(path_to_text[0])
+            for field in path_to_text[1:]:
+                texts = texts.field(field)
             pred, score, n_spans, spans = [], [], [], []
             for first, to, data, offsets in chunks(texts, step):
                 n = to - first
@@ -277,14 +280,18 @@ def _label(model_bc, switch: float, with_spans: bool):
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, switch: float = SWITCH, with_spans: bool = False) -> DataFrame:
-    """``df`` (its columns, or ``keep`` of them) with lang_pred, score (0 to
-    1), n_spans and, if asked for, spans (language, start and end in bytes of
+    """``df`` (its columns, or ``keep`` of them; ``text_col`` may be a field
+    of a struct, written with a dot) with lang_pred, score (0 to 1), n_spans and, if asked for, spans (language, start and end in bytes of
     UTF-8).  Only the text enters a prediction."""
+    small_batches(df.sparkSession)
     cols = list(df.columns if keep is None else keep)
     added = {"lang_pred": "string", "score": "double", "n_spans": "long"} | ({"spans": "array<struct<lang:string,start:int,end:int>>"} if with_spans else {})
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(text_col).alias("_text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row")
+    # a text that is kept anyway goes to the task once, in its row
+    path = ["_row", *text_col.split(".")] if text_col.split(".")[0] in cols else ["_text"]
+    rows = df.select(row) if path[0] == "_row" else df.select(row, F.col(text_col).alias("_text"))
     schema = rows.select("_row", *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
-    out = rows.mapInArrow(_label(df.sparkSession.sparkContext.broadcast(model), switch, with_spans), schema)
+    out = rows.mapInArrow(_label(df.sparkSession.sparkContext.broadcast(model), switch, with_spans, path), schema)
     return out.select(*[F.col("_row")[c].alias(c) for c in cols if c.lower() not in added], *added)
 
 

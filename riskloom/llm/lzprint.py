@@ -33,7 +33,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import driver_table, table, text_or_empty
+from riskloom.llm.common import driver_table, small_batches, table, text_or_empty
 from riskloom.llm.textvec import mix64, run_hashes
 
 K = 128                    # hashes in a fingerprint
@@ -156,7 +156,7 @@ def _walk(k: int):
 def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ranges: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text (second half from
     the next document), and how like they and the next document's are."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     ranges = ranges or RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
     cuts = rows.agg(F.percentile_approx(F.col("_id").cast("double"), [i / ranges for i in range(1, ranges)] or [0.5], 10 * max(ranges, 1000))).first()[0]

@@ -1,8 +1,8 @@
 """Words and hashes of many texts at once, as numpy arrays over their bytes.
 
 An Arrow string column already holds its texts as one byte buffer with
-offsets.  Everything here works on such a buffer, a chunk of about a megabyte
-at a time, so memory does not depend on the size of a batch (a longer single
+offsets.  Everything here works on such a buffer, a chunk of CHUNK_BYTES at a
+time, so memory does not depend on the size of a batch (a longer single
 text is a chunk of its own).
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -36,7 +36,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 14)
+            self.n = max(n, 1 << 14)
             ones = np.full(self.n, _BASE, np.uint64), np.full(self.n, _INVERSE, np.uint64)
             ones[0][0] = ones[1][0] = 1
             self.up, self.down = (np.cumprod(x, dtype=np.uint64) for x in ones)

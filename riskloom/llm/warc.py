@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import table, text_or_empty
+from riskloom.llm.common import small_batches, table, text_or_empty
 from riskloom.session import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -97,6 +97,7 @@ def revisits(df: DataFrame, id_col: str, payload: F.Column, min_bytes: int = 0)
 def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                min_bytes: int = 0) -> None:
     """Archives of ``df`` below ``path``, one record per row."""
+    small_batches(df.sparkSession)
     payload = text_or_empty(payload_col).cast("binary")
     again = revisits(df, id_col, payload, min_bytes)
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("d"))
