@@ -9,8 +9,8 @@ the columns of docs.
 2. line_dedup      boilerplate lines of many sites are taken out; a text that
                    has no words left goes.
 3. ngram_jaccard   of each group of near copies one document stays.
-4. mixing          sources are brought to their target weights: documents are
-                   dropped, repeated, or cut after the words the mix takes.
+4. mixing          sources are brought to their target weights: whole documents
+                   are dropped or repeated.
 5. bpe             token ids of each text, and the digest of the text decoded
                    from them.
 
@@ -59,7 +59,7 @@ def ngram_jaccard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recount(mixing.mixed_texts(docs))
+    return _recount(mixing.mixed_documents(docs))
 
 
 def bpe_encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,11 @@ the rest, a seeded systematic choice of its blocks (every ``n/m``-th block
 from a seeded start), so a document's share is closed-form arithmetic on its
 position and needs no ranking of blocks.
 
+``mix`` counts words, so a document may be taken in part; ``mixed_documents``
+places whole documents: a source's quotas add up to whole passes over all its
+lines, one behind the other, and for the rest the documents whose middle lies
+before its end, which is within half a document of the quota.
+
 Only one row per source and (source, shard) reaches the driver.  Positions
 are two-level prefix sums: windows run inside hash buckets of bounded size,
 never over a whole source.
@@ -83,8 +88,9 @@ def quota_plan(rows: Sequence[tuple], n_blocks: int = N_BLOCKS, max_repeat: int
     """``rows``: (source, shard, size, documents) for each (source, shard).
 
     Returns (source, shard, sidx, source_size, target, block, passes, picked,
-    blocks, start) for each: ``passes`` whole passes over the line and
-    ``picked`` of its ``blocks`` blocks, systematic from ``start``.
+    blocks, start, before, quota) for each: ``passes`` whole passes over the
+    line and ``picked`` of its ``blocks`` blocks, systematic from ``start``;
+    the words of the source's lines before it and of all the source's quotas.
     """
     sources = sorted({r[0] for r in rows}, key=lambda s: (s is None, s or ""))
     by_source = dict.fromkeys(sources, 0)
@@ -102,19 +108,21 @@ def quota_plan(rows: Sequence[tuple], n_blocks: int = N_BLOCKS, max_repeat: int
     out = []
     for i, s in enumerate(sources):
         own = shards[s]
-        for r, q in zip(own, sainte_lague([x[2] for x in own], quota[i])):
+        seats = sainte_lague([x[2] for x in own], quota[i])
+        each, before = [min(q * block, max_repeat * x[2]) for x, q in zip(own, seats)], 0
+        for r, words in zip(own, each):
             size = r[2]
-            words = min(q * block, max_repeat * size)
             passes = words // size if size else 0
             blocks = -(-size // block)
             picked = min(blocks, round((words - passes * size) / block))
             start = _seeded(seed, s, r[1]) % blocks if blocks else 0
-            out.append((s, r[1], i, sizes[i], target[i], block, passes, picked, blocks, start))
+            out.append((s, r[1], i, sizes[i], target[i], block, passes, picked, blocks, start, before, sum(each)))
+            before += size
     return out
 
 
 _PLAN = ("_src string, _shard int, _sidx int, source_size long, target double, _block long, "
-         "_passes long, _picked long, _blocks long, _start long")
+         "_passes long, _picked long, _blocks long, _start long, _before long, _quota long")
 
 
 def _picked_before(x: str) -> str:
@@ -127,13 +135,11 @@ def _picked_before(x: str) -> str:
     return f"(_block * ({passed(k)} - {passed('0L')}) + ({x} % _block) * ({passed(k + ' + 1L')} - {passed(k)}))"
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-        keep: Sequence[str] | None = None, n_blocks: int = N_BLOCKS, n_shards: int = N_SHARDS,
-        max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
-    """``df`` (its columns, or ``keep`` of them) with size, source_size,
-    target and taken: the words the mix takes of each document."""
+def _lines(df: DataFrame, cols: Sequence[str], id_col: str, text_col: str, source_col: str, *, n_blocks: int = N_BLOCKS,
+           n_shards: int = N_SHARDS, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
+    """The rows (``cols`` as one struct) with their line's plan, size, and
+    their first and last word's places on the line (_at, _to)."""
     spark = df.sparkSession
-    cols = list(df.columns if keep is None else keep)
     base = df.select(
         F.struct(*[F.col(f"`{c}`") for c in cols]).alias(ROW),
         F.col(source_col).alias("_src"), F.col(id_col).alias("_id"),
@@ -154,15 +160,34 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                .withColumn("_off", F.sum("_words").over(Window.partitionBy("_sidx", "_shard").orderBy("_bucket")) - F.col("_words"))
                .select(F.col("_sidx").alias("_i"), F.col("_shard").alias("_j"), F.col("_bucket").alias("_b"), "_off"))
     inside = Window.partitionBy("_sidx", "_shard", "_bucket").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    line = (placed.withColumn("_in", F.sum("size").over(inside) - F.col("size"))
+    return (placed.withColumn("_in", F.sum("size").over(inside) - F.col("size"))
             .join(offsets, (F.col("_sidx") == F.col("_i")) & (F.col("_shard") == F.col("_j")) & (F.col("_bucket") == F.col("_b")))
             .withColumn("_at", F.col("_off") + F.col("_in")).withColumn("_to", F.col("_at") + F.col("size")))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
+        keep: Sequence[str] | None = None, **how) -> DataFrame:
+    """``df`` (its columns, or ``keep`` of them) with size, source_size,
+    target and taken: the words the mix takes of each document."""
+    cols = list(df.columns if keep is None else keep)
+    line = _lines(df, cols, id_col, text_col, source_col, **how)
     taken = F.expr(f"cast(_passes * size + {_picked_before('_to')} - {_picked_before('_at')} as bigint)")
     return unpack(line.withColumn("taken", taken), cols, "size", "source_size", "target", "taken")
 
 
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix in whole documents, with the columns of ``df``: each source is
+    within half a document of its quota and no text is cut.  Documents without
+    words have nothing to weigh and pass once."""
+    cols = df.columns
+    line = _lines(df, cols, id_col, text_col, source_col, **how)
+    copies = F.expr("_quota div source_size + if(2 * (_before + _at) + size <= 2 * (_quota % source_size), 1, 0)")
+    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("int")
+    return unpack(line.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))), cols)
+
+
 def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself, with the columns of ``df``: a document taken ``t`` words
+    """The mix to the word, with the columns of ``df``: a document taken ``t`` words
     of ``s`` appears ``t div s`` times whole and, if words are left, once more
     with the first ``t mod s`` of its words.  Documents without words have
     nothing to weigh and pass once, so that nothing is lost silently."""

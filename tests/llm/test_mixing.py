@@ -82,6 +82,29 @@ def test_mixed_texts_hold_the_words_taken(odd):
     assert {i: n for i, n in words.items() if n} == {i: n for i, n in by_id.items() if n}
 
 
+def test_pipeline_places_whole_documents(spark):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(rng.randint(20, 600))), "en", f"s{min(i % 10, 3)}") for i in range(400)]
+    rows += [(400, "one two three four five", "en", "tiny"), (401, "", "en", "s0"), (402, None, "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    texts = {i: t for i, t, *_ in rows}
+    assert all(r.text == texts[r.doc_id] for r in got)
+    assert all(n <= 3 for n in Counter(r.doc_id for r in got).values())
+    assert [sum(r.doc_id == i for r in got) for i in (401, 402)] == [1, 1]
+    size, target = brute_targets(rows)
+    words = Counter()
+    for r in got:
+        words[r.source] += len((r.text or "").split())
+    longest = max(len((t or "").split()) for t in texts.values())
+    for s, t in target.items():
+        assert abs(words[s] - float(t)) <= longest / 2 + 2, s
+    again = corpus_pipeline.mix_sources(spark, df.repartition(7), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_empty(empty):
     assert mixing.mix(empty).count() == 0
     assert mixing.mixed_texts(empty).count() == 0
