@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-The corpus is cut into equal-token blocks.  Blocks are allocated to sources
-by highest quotients ``weight / (2k + 1)``, then each source's blocks to its
-shards in the same way, which gives an integer quota per (source, shard)
-before any document is chosen.  Within a (source, shard) the documents lie on
+The corpus is cut into equal-token blocks, small enough for the smallest
+source to have many.  Blocks are allocated to sources by highest quotients
+``weight / (2k + 1)``, then each source's blocks to its shards in the same way
+(what a shard can't take goes to the others), which gives an integer quota per
+(source, shard) before any document is chosen.  Within a (source, shard) the documents lie on
 a line in seeded order; the quota takes whole passes over that line and, for
 the rest, a seeded systematic choice of its blocks (every ``n/m``-th block
 from a seeded start), so a document's share is closed-form arithmetic on its
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import ROW, driver_table, pack, table, unpack, word_count
 from riskloom.session import cut_lineage
 
-N_BLOCKS = 65_536       # blocks the corpus is cut into
+N_BLOCKS = 65_536       # blocks the corpus is cut into at least
+OWN_BLOCKS = 4_096      # blocks of the smallest source, or of a line, at least (unless it has fewer words)
 N_SHARDS = 16           # shards that get quotas of their own
 MAX_REPEAT = 3          # no source or document is taken more often
 BUCKET_ROWS = 20_000    # rows per prefix-sum window, on average
@@ -45,16 +47,17 @@ WEIGHT_CYCLE = (1, 2, 3)
 def sainte_lague(weights: Sequence[float], seats: int) -> list[int]:
     """Seats by highest quotients ``w / (2k + 1)``; ties go to the earlier entry.
 
-    The bulk comes from the divisor form (floor(w / d) seats have surely been
-    won when d is the average price of a seat plus a margin); the heap then
-    hands out the rest one by one.
+    The bulk comes from the divisor form: at a price d of which no more seats
+    are sold than there are, every entry has won its round(w / d).  The heap
+    then hands out the rest one by one, about two per entry.
     """
     got = [0] * len(weights)
-    total = float(sum(weights))
+    total, n = float(sum(weights)), sum(w > 0 for w in weights)
     if seats <= 0 or total <= 0:
         return got
-    for i, w in enumerate(weights):
-        got[i] = max(0, int(w / total * seats) - len(weights))
+    if 2 * seats > n:
+        price = total / (seats - n / 2)
+        got = [max(0, int(w / price + 0.5) - 1) for w in weights]
     heap = [(-w / (2 * got[i] + 1), i) for i, w in enumerate(weights) if w > 0]
     heapq.heapify(heap)
     for _ in range(seats - sum(got)):
@@ -64,6 +67,19 @@ def sainte_lague(weights: Sequence[float], seats: int) -> list[int]:
     return got
 
 
+def capped_seats(weights: Sequence[float], caps: Sequence[int], seats: int) -> list[int]:
+    """``sainte_lague`` with at most ``caps`` seats each; what is over goes to
+    the others in the same way, as long as there is room."""
+    full: dict[int, int] = {}
+    while True:
+        got = sainte_lague([0 if i in full else w for i, w in enumerate(weights)], seats - sum(full.values()))
+        got = [full.get(i, g) for i, g in enumerate(got)]
+        over = [i for i, g in enumerate(got) if g > caps[i]]
+        if not over:
+            return got
+        full.update((i, caps[i]) for i in over)
+
+
 def source_targets(sizes: Sequence[int], weights: Sequence[float], max_repeat: float = MAX_REPEAT) -> list[float]:
     """Targets that share the sum of ``sizes`` by weight; none above
     ``max_repeat`` times its size, the excess shared again by weight."""
@@ -100,7 +116,8 @@ def quota_plan(rows: Sequence[tuple], n_blocks: int = N_BLOCKS, max_repeat: int
     total = sum(sizes)
     weights = [float(WEIGHT_CYCLE[i % len(WEIGHT_CYCLE)]) for i in range(len(sources))]
     target = source_targets(sizes, weights, max_repeat)
-    block = max(1, total // n_blocks)
+    least = min((min(z, int(t)) for z, t in zip(sizes, target) if z > 0), default=0)
+    block = max(1, min(total // n_blocks, least // OWN_BLOCKS))
     quota = sainte_lague(target, round(total / block))
     shards: dict = {}
     for r in sorted(rows, key=lambda r: r[1]):
@@ -108,15 +125,17 @@ def quota_plan(rows: Sequence[tuple], n_blocks: int = N_BLOCKS, max_repeat: int
     out = []
     for i, s in enumerate(sources):
         own = shards[s]
-        seats = sainte_lague([x[2] for x in own], quota[i])
+        seats = capped_seats([x[2] for x in own], [-(-max_repeat * x[2] // block) for x in own], quota[i])
         each, before = [min(q * block, max_repeat * x[2]) for x, q in zip(own, seats)], 0
         for r, words in zip(own, each):
             size = r[2]
             passes = words // size if size else 0
-            blocks = -(-size // block)
-            picked = min(blocks, round((words - passes * size) / block))
+            # a long line is picked in larger blocks, so documents are mostly taken or left whole
+            mine = block * max(1, size // (block * OWN_BLOCKS))
+            blocks = -(-size // mine)
+            picked = min(blocks, round((words - passes * size) / mine))
             start = _seeded(seed, s, r[1]) % blocks if blocks else 0
-            out.append((s, r[1], i, sizes[i], target[i], block, passes, picked, blocks, start, before, sum(each)))
+            out.append((s, r[1], i, sizes[i], target[i], mine, passes, picked, blocks, start, before, sum(each)))
             before += size
     return out
 

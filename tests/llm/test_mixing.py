@@ -82,6 +82,43 @@ def test_mixed_texts_hold_the_words_taken(odd):
     assert {i: n for i, n in words.items() if n} == {i: n for i, n in by_id.items() if n}
 
 
+@pytest.mark.parametrize("n_blocks", [4, 100, mixing.N_BLOCKS])
+def test_small_sources_meet_their_targets_whatever_the_block(n_blocks):
+    rng = random.Random(n_blocks)
+    size = {"a": 12_000, "b": 50_000, "c": 100_000, "d": 200_000, "e": 5_000_000_000, "f": 7, "g": 0}
+    rows = []
+    for s, n in size.items():
+        cuts = sorted(rng.randint(0, n) for _ in range(15))
+        rows += [(s, k, b - a, 10) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, n]))]
+    target = dict(zip(size, mixing.source_targets(list(size.values()), [1.0, 2.0, 3.0] * 2 + [1.0])))
+    taken, before = Counter(), Counter()
+    for src, _, _, source_size, t, block, passes, picked, blocks, start, at, quota in mixing.quota_plan(rows, n_blocks):
+        n = [r[2] for r in rows if r[0] == src][sum(1 for x in before.elements() if x == src)]
+        before[src] += 1
+        assert t == target[src] and source_size == size[src] and (blocks + start) * picked < 2 ** 63
+        taken[src] += passes * n + min(n, picked * block)
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(16, 0.01 * t), (s, taken[s], t)
+
+
+def test_more_sources_than_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(50, 90), "en", f"s{i % 60:02}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = Counter()
+    for r in mixing.mix(df, keep=["doc_id", "source"], n_blocks=10).collect():
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s, t in brute_targets(rows)[1].items():
+        assert abs(taken[s] - float(t)) <= max(20, 0.02 * float(t))
+
+
+def test_what_a_shard_cannot_take_goes_to_the_others():
+    assert mixing.capped_seats([1, 1, 1], [1, 5, 5], 9) == [1, 4, 4]
+    assert mixing.capped_seats([5, 1], [9, 9], 30) == [9, 9]
+    assert mixing.capped_seats([], [], 3) == []
+
+
 def test_pipeline_places_whole_documents(spark):
     import corpus_pipeline
 
