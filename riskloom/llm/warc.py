@@ -44,7 +44,6 @@ VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
 SPLIT_BYTES = 16 << 20   # bytes of a reading task's range
 CHUNK = 1 << 20          # bytes read at once
-HEAD_LIMIT = 1 << 16     # a record's headers must end within so many bytes
 BATCH_BYTES = 8 << 20    # payload bytes in an output batch
 
 
@@ -142,7 +141,7 @@ def _headers(raw: bytes) -> dict[str, str]:
 def member_at(r: _Range, at: int):
     """(headers, block, end) of the record whose gzip member starts at ``at``;
     None if there is none."""
-    z, out, pos, head = zlib.decompressobj(31), bytearray(), at, None
+    z, out, pos, head, seen = zlib.decompressobj(31), bytearray(), at, None, 0
     while not z.eof:
         r.fill(pos + 1)
         data = r.buf[pos - r.base:pos - r.base + CHUNK]
@@ -156,9 +155,8 @@ def member_at(r: _Range, at: int):
         if head is None:
             if out[:7] != b"WARC/1."[:len(out)]:
                 return None
-            cut = out.find(b"\r\n\r\n", 0, HEAD_LIMIT)
-            if cut < 0 and len(out) >= HEAD_LIMIT:
-                return None
+            cut = out.find(b"\r\n\r\n", seen)
+            seen = max(0, len(out) - 3)     # headers may be of any length: look on from here
             if cut >= 0:
                 head = _headers(bytes(out[:cut]))
                 if "warc-type" not in head or not head.get("content-length", "").isdigit():
@@ -217,7 +215,7 @@ def _read_ranges(with_payload: bool):
                                      head.get("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None,
                                      int(n) if revisit and n.isdigit() else len(body), None if revisit else base32_digest(body),
                                      body if with_payload and not revisit else None))
-                        held += len(body) if with_payload else 300
+                        held += 300 + len(head.get("warc-target-uri", "")) + (len(body) if with_payload else 0)
                         if held >= BATCH_BYTES:
                             yield batch(rows)
                             rows, held = [], 0

@@ -84,6 +84,18 @@ def test_written_and_read_back(spark, split):
     assert texts == {h or "" for _, _, h, _ in PAGES}
 
 
+@pytest.mark.parametrize("split", [50_000, 1 << 24])
+def test_long_urls_are_read_back(spark, split):
+    rng = random.Random(3)
+    urls = {i: "data:" + "".join(rng.choices("abcdefghijklmnop0123456789", k=n)) for i, n in ((1, 65_000), (2, 70_000), (3, 1 << 20), (4, 3 << 20))}
+    df = spark.createDataFrame([(i, u, "same" if i < 3 else f"page {i}") for i, u in urls.items()], "page_id long, url string, html string")
+    path = scratch_path(spark, "warc")
+    warc.write_warc(df.coalesce(1), path)
+    got = warc.page_records(warc.read_warc(spark, path, split_bytes=split)).collect()
+    assert sorted((r.page_id, r.target_uri) for r in got) == sorted(urls.items())
+    assert {r.page_id: r.refers_to for r in got} == {1: 2, 2: None, 3: None, 4: None}
+
+
 def test_empty(spark):
     path = scratch_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
