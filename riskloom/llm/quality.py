@@ -32,7 +32,7 @@ KEEP_FROM = 0.5          # posterior from which a document is kept
 ITERATIONS = 25
 PRIOR_ROWS = 20.0        # weight of the starting values, in documents
 START = {"good": 0.9, "on_good": 0.99, "on_bad": 0.35}   # rules blame few good documents, and miss many bad ones
-BOUNDS = {"good": (0.5, 0.99), "on_good": (0.99, 0.999), "on_bad": (0.1, 0.9)}
+BOUNDS = {"good": (0.5, 0.99), "on_good": (0.6, 0.999), "on_bad": (0.1, 0.9)}   # only keep the logarithms finite and the sides apart
 
 
 def _ratio(a: str, b: str) -> Column:

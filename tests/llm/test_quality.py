@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from riskloom.llm import quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -53,6 +55,24 @@ def test_estimates_find_the_bad_documents(spark):
     assert sum((r.p >= 0.5) == r.good for r in kept) > 0.95 * len(kept)
 
 
+@pytest.mark.parametrize("n_rules,right", [(4, 0.97), (8, 0.97), (8, 0.9)])
+def test_rules_that_blame_good_documents_are_found_out(spark, n_rules, right):
+    import random
+
+    rng = random.Random(4)
+    names, rows = [f"r{k}" for k in range(n_rules)], []
+    for _ in range(4000):
+        good = rng.random() < 0.85
+        votes = [0 if rng.random() < 0.2 else (1 if rng.random() < right else -1) if good else (-1 if rng.random() < 0.6 else 1) for _ in names]
+        rows.append((good, *votes))
+    df = spark.createDataFrame(rows, "good boolean, " + ", ".join(f"v_{r} int" for r in names))
+    est = quality.estimate(df, names)
+    assert abs(est.good - 0.85) < 0.05
+    assert all(abs(est.on_good[r] - right) < 0.03 and abs(est.on_bad[r] - 0.6) < 0.15 for r in names)
+    clean = df.withColumn("p", est.posterior()).filter("good").collect()
+    assert sum(r.p >= 0.5 for r in clean) > 0.97 * len(clean)
+
+
 def test_labels_agree(spark):
     sf = "/root/testdata/sf0.01"
     got = quality.op9_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "label"), "doc_id").collect()
