@@ -6,9 +6,11 @@ any long run of digits and separators, dotted quads, card-like groups.  Each
 proposal gets features of its format and of the text around it; gradient
 boosted trees (pyspark.ml, which runs in the JVM) learn from the proposals
 that the base rules confirm against those they reject, without seeing the mark
-that makes the rule certain (a phone's plus sign, an address's @).  Per kind,
-the lowest score at which held-out proposals are right often enough is the
-threshold; proposals above it that touch no base span are added.
+that makes the rule certain (a phone's plus sign, an address's @).  Only the
+fitting sees a bounded sample, taken per kind and label so that a rare kind is
+in it.  Per kind, the lowest score at which held-out proposals (half of all)
+are right often enough is the threshold; proposals above it that touch no base
+span are added.
 
 Positions are code points.  For a pattern, the matches (``regexp_extract_all``)
 and the pieces between them (``split``) come in turn, so the lengths give every
@@ -23,6 +25,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -55,7 +59,7 @@ HINT = {
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|contact|dial)\W*$",
 }
 AROUND = 24                # code points of context on either side
-TRAIN_ROWS = 20_000        # proposals the trees are fitted on at most (by hash order)
+TRAIN_ROWS = 20_000        # proposals the trees are fitted on at most (by hash order, shared by kinds and labels)
 TREES, DEPTH = 12, 3
 PRECISION = 0.98           # of held-out proposals above a kind's threshold
 MIN_SUPPORT = 20           # held-out proposals a threshold needs above it
@@ -177,14 +181,26 @@ class Booster:
         return ok
 
 
+def _shares(sizes: list[int], room: int) -> list[int]:
+    """``room`` dealt evenly; what a small one leaves goes to the larger ones."""
+    out, left = [0] * len(sizes), len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        out[i] = min(sizes[i], room // left)
+        room, left = room - out[i], left - 1
+    return out
+
+
 def fit(rows: DataFrame, names: list[str], train_rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Booster:
-    """Trees on half of at most ``train_rows`` proposals (label, features,
-    _pick), thresholds on the other half."""
-    sample = cut_lineage(rows.orderBy("_pick").limit(train_rows), "sample")
-    by = {(r["half"], r["label"]): r["count"] for r in sample.groupBy((F.col("_pick") % 2 != 0).alias("half"), "label").count().collect()}
-    if min(by.get((h, y), 0) for h in (False, True) for y in (0.0, 1.0)) < 10:
+    """Trees on at most ``train_rows`` proposals (label, features, _pick) of
+    one half, thresholds on all of the other half."""
+    by = {(r["half"], r["kind"], r["label"]): r["count"] for r in rows.groupBy((F.col("_pick") % 2 != 0).alias("half"), "kind", "label").count().collect()}
+    if min(sum(n for (half, _, y), n in by.items() if (half, y) == (h, z)) for h in (False, True) for z in (0.0, 1.0)) < 10:
         return Booster(None, {}, names)
-    train, held = sample.filter("_pick % 2 = 0"), sample.filter("_pick % 2 != 0")
+    train, held = rows.filter("_pick % 2 = 0"), rows.filter("_pick % 2 != 0")
+    if (groups := [(k, y) for (half, k, y) in sorted(by) if not half]) and sum(by[False, k, y] for k, y in groups) > train_rows:
+        takes = _shares([by[False, k, y] for k, y in groups], train_rows)
+        parts = [train.filter((F.col("kind") == k) & (F.col("label") == y)).orderBy("_pick").limit(n) for (k, y), n in zip(groups, takes)]
+        train = cut_lineage(reduce(DataFrame.unionAll, parts), "sample")
     vec = VectorAssembler(inputCols=names, outputCol="_vec").transform(train)
     model = GBTClassifier(featuresCol="_vec", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=11).fit(vec.select("_vec", "label"))
     booster = Booster(model, {}, names)

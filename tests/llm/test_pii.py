@@ -84,6 +84,24 @@ def test_learns_what_the_base_rules_miss(spark):
     assert added <= 8, [(texts[i], got[i].spans) for i, _ in rows if got[i].n_added][:5]
 
 
+def test_a_rare_kind_gets_its_threshold(spark):
+    """One proposal in 500 is a card; the trees see 2,000 proposals."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 500 == 0, 2).otherwise(3).alias("kind"), (F.col("id") % 1000 < 500).cast("double").alias("label"), F.xxhash64("id").alias("_pick"))
+    rows = rows.select("*", (F.col("kind") == 2).cast("double").alias("is_card"), (F.col("label") + F.pmod("_pick", F.lit(100)) / 200).alias("x"))
+    booster = pii.fit(rows, ["is_card", "x"], train_rows=2000)
+    assert set(booster.thresholds) == {2, 3}
+    got = booster.score(rows).groupBy("kind").agg(F.sum((booster.accepted() == (F.col("label") == 1)).cast("long")).alias("right"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.kind: r.n for r in got} == {2: 120, 3: 59_880} and all(r.right > 0.98 * r.n for r in got)
+
+
+def test_training_rows_are_shared_by_kinds_and_labels():
+    assert pii._shares([5, 1000, 40, 1000], 245) == [5, 100, 40, 100]
+    assert pii._shares([3, 4], 100) == [3, 4]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é x@y.zz and 1.2.3.4.")], "doc_id long, text string")
     assert pii.redact(pii.find(df)).first().text == "é [EMAIL] and [IP]."
