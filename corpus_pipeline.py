@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.  All but the last return
 the columns of docs.
 
-1. language_id     texts without a recognised language go; a missing ``lang``
-                   is filled with the prediction.
+1. language_id     texts without a word in a script of some learnt language go;
+                   a missing ``lang`` is filled with the prediction.
 2. line_dedup      boilerplate lines of many sites are taken out; a text that
                    has no words left goes.
 3. ngram_jaccard   of each group of near copies one document stays.
@@ -27,8 +27,6 @@ from riskloom.llm import bpe, jaccard, langid, lines, mixing
 from riskloom.llm.common import WORD
 from riskloom.session import cut_lineage
 
-MIN_LANGUAGE_SCORE = 0.2   # below it no language is recognised
-
 
 def _recount(df: DataFrame) -> DataFrame:
     """``n_chars`` of texts that a stage has changed."""
@@ -42,8 +40,8 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     model = langid.learn(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
-    found = langid.predict(rows, model, "row.text").filter(
-        (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    found = langid.predict(rows, model, "row.text", with_known=True).filter(
+        (F.col("lang_pred") != langid.UNKNOWN) & (F.col("known") > 0))
     lang = F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang")
     return found.select(*[lang if c == "lang" else F.col("row")[c].alias(c) for c in cols])
 

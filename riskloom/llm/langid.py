@@ -230,7 +230,7 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, model: Model, switch: float
     return w, path, sums, first, w.doc[first]
 
 
-def _label(model_bc, switch: float, with_spans: bool, path_to_text: list[str]):
+def _label(model_bc, switch: float, with_spans: bool, with_known: bool, path_to_text: list[str]):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = model_bc.value
         names, m = np.array([*model.langs, UNKNOWN], object), len(model.langs)
@@ -239,11 +239,11 @@ def _label(model_bc, switch: float, with_spans: bool, path_to_text: list[str]):
             texts = b.column(path_to_text[0])
             for field in path_to_text[1:]:
                 texts = texts.field(field)
-            pred, score, n_spans, spans = [], [], [], []
+            pred, score, n_spans, spans, known = [], [], [], [], []
             for first, to, data, offsets in chunks(texts, step):
                 n = to - first
                 own = np.full(n, m)
-                conf, runs_, listed = np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
+                conf, runs_, listed, seen = np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)], np.zeros(n)
                 if m:
                     w, path, sums, start, doc = spans_of(data, offsets, model, switch)
                     letters = np.zeros((n, m))
@@ -257,6 +257,9 @@ def _label(model_bc, switch: float, with_spans: bool, path_to_text: list[str]):
                         e = np.exp((sums - sums.max(1, keepdims=True)) / 3)
                         sure[doc] = 1 / e.sum(1)
                     conf = np.where(has, share * sure, 0)
+                    if with_known:
+                        np.add.at(seen, w.doc, np.where(model.allowed[w.script].any(1), w.end - w.start, 0))
+                        seen = np.where(has, seen / np.maximum(total, 1), 0)
                     if len(path):
                         new = np.concatenate(([True], (w.doc[1:] != w.doc[:-1]) | (path[1:] != path[:-1])))
                         np.add.at(runs_, w.doc[new], 1)
@@ -270,28 +273,34 @@ def _label(model_bc, switch: float, with_spans: bool, path_to_text: list[str]):
                 score += conf.tolist()
                 n_spans += np.where(own < m, runs_, 0).tolist()
                 spans += listed
+                known += seen.tolist()
             cols = [b.column("_row"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n_spans, pa.int64())]
             labels = ["_row", "lang_pred", "score", "n_spans"]
             if with_spans:
                 cols.append(pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
                 labels.append("spans")
+            if with_known:
+                cols.append(pa.array(known, pa.float64()))
+                labels.append("known")
             yield pa.RecordBatch.from_arrays(cols, labels)
     return label
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, switch: float = SWITCH, with_spans: bool = False) -> DataFrame:
+def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, switch: float = SWITCH, with_spans: bool = False,
+            with_known: bool = False) -> DataFrame:
     """``df`` (its columns, or ``keep`` of them; ``text_col`` may be a field
     of a struct, written with a dot) with lang_pred, score (0 to 1), n_spans and, if asked for, spans (language, start and end in bytes of
-    UTF-8).  Only the text enters a prediction."""
+    UTF-8) and known, the share of the letters in words whose script some
+    learnt language has.  Only the text enters a prediction."""
     small_batches(df.sparkSession)
     cols = list(df.columns if keep is None else keep)
-    added = {"lang_pred": "string", "score": "double", "n_spans": "long"} | ({"spans": "array<struct<lang:string,start:int,end:int>>"} if with_spans else {})
+    added = {"lang_pred": "string", "score": "double", "n_spans": "long"} | ({"spans": "array<struct<lang:string,start:int,end:int>>"} if with_spans else {}) | ({"known": "double"} if with_known else {})
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row")
     # a text that is kept anyway goes to the task once, in its row
     path = ["_row", *text_col.split(".")] if text_col.split(".")[0] in cols else ["_text"]
     rows = df.select(row) if path[0] == "_row" else df.select(row, F.col(text_col).alias("_text"))
     schema = rows.select("_row", *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
-    out = rows.mapInArrow(_label(df.sparkSession.sparkContext.broadcast(model), switch, with_spans, path), schema)
+    out = rows.mapInArrow(_label(df.sparkSession.sparkContext.broadcast(model), switch, with_spans, with_known, path), schema)
     return out.select(*[F.col("_row")[c].alias(c) for c in cols if c.lower() not in added], *added)
 
 

@@ -55,6 +55,25 @@ def test_stages_one_by_one(spark, odd, odd_rows):
     assert sorted(map(tuple, docs.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("n_langs", [3, 7])
+def test_texts_of_many_languages_stay_and_unknown_scripts_go(spark, n_langs):
+    import random
+    import string
+
+    rng = random.Random(6)
+    letters = [string.ascii_lowercase[3 * k:3 * k + 3] for k in range(n_langs)]
+
+    def words(k, n):
+        return " ".join("".join(rng.choices(letters[k], k=5)) for _ in range(n))
+    rows = [(100 * k + i, words(k, 60), f"l{k}", "s") for k in range(n_langs) for i in range(20)]
+    rows += [(9000 + i, " ".join(words(k, 40) for k in range(n_langs)), None, "s") for i in range(5)]
+    rows += [(9100, "\u4e2d\u6587 " * 50, None, "s"), (9101, "1234 !!!", None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.language_id(spark, df, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r[0] for r in rows if r[0] < 9100)
+    assert all(r.lang for r in kept)
+
+
 def test_empty_table(spark, empty):
     docs = empty
     for name, stage in corpus_pipeline.STAGES:
