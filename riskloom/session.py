@@ -92,4 +92,17 @@ def cut_lineage(df, name: str = "table"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop_scratch(*tables) -> None:
+    """Delete tables that ``cut_lineage`` wrote, once what was made of them has
+    been written in its turn.  Other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            table._scratch_path = None
+            jvm_path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
