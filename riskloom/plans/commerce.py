@@ -107,9 +107,12 @@ def fit_state(df: DataFrame, label: str = "class", min_rate: float = HIGH_RISK_R
 
 def engineer(df: DataFrame, state: CommerceState, ranges: DataFrame | None = None,
              ip_key: str = "ip_address", order_col: str = "txn_id",
-             materialize: bool = True) -> DataFrame:
+             materialize: bool = True, history=None) -> DataFrame:
     """All purchase features; column-guarded like the modelled feature step.
 
+    With ``history`` (``keystate.KeyState``) the per-key counts are those of
+    everything the state has seen and ``df``; else those of ``df`` alone.
+
     About a dozen branches (group aggregates, velocity windows and their
     offsets, halos, probes) read the input; ``materialize`` writes it once
     to the shared checkpoint folder so they scan that instead of each
@@ -123,12 +126,14 @@ def engineer(df: DataFrame, state: CommerceState, ranges: DataFrame | None = Non
         df = cut_lineage(df)
     base = df
     df = time_features(df)
-    if "device_id" in df.columns:
+    if history is not None:
+        df = history.features(df)
+    if history is None and "device_id" in df.columns:
         aggs = {"device_frequency": F.count(F.lit(1))}
         if "user_id" in df.columns:
             aggs["users_per_device"] = F.count_distinct("user_id")
         df = A.attach_group_aggs(df, "device_id", aggs)
-    if ip_key in df.columns:
+    if history is None and ip_key in df.columns:
         aggs = {"ip_frequency": F.count(F.lit(1))}
         if "user_id" in df.columns:
             aggs["users_per_ip"] = F.count_distinct("user_id")
@@ -136,7 +141,7 @@ def engineer(df: DataFrame, state: CommerceState, ranges: DataFrame | None = Non
     if "ip_address" in df.columns and "ip_as_int" not in df.columns:
         df = with_ip_int(df)
     df = value_features(df)
-    if "purchase_time" in df.columns:
+    if history is None and "purchase_time" in df.columns:
         vkeys = [k for k in ("device_id", ip_key) if k in df.columns]
         # one skew probe for both keys, on the input before the feature joins
         largest = largest_groups(base, vkeys, "purchase_time") if vkeys else {}

@@ -38,9 +38,9 @@ def fit_feature_state(df: DataFrame, dataset_type: str, label: str = "class") ->
 
 
 def engineer(df: DataFrame, state: FeatureState, ranges: DataFrame | None = None,
-             materialize: bool = True) -> DataFrame:
+             materialize: bool = True, history=None) -> DataFrame:
     if state.dataset_type == "fraud":
-        return C.engineer(df, state.commerce, ranges, materialize=materialize)
+        return C.engineer(df, state.commerce, ranges, materialize=materialize, history=history)
     if state.dataset_type == "creditcard":
         return CD.engineer(df, state.card)
     raise ValueError(f"Unknown dataset type: {state.dataset_type}")
@@ -49,8 +49,9 @@ def engineer(df: DataFrame, state: FeatureState, ranges: DataFrame | None = None
 def prepare_features(df: DataFrame, dataset_type: str, state: FeatureState | None = None,
                      drop_columns: Sequence[str] | None = None, keep: Sequence[str] = ("txn_id",),
                      ranges: DataFrame | None = None, label: str = "class",
-                     materialize: bool = True) -> DataFrame:
-    """Engineer -> drop -> numeric columns.  ``state=None`` fits on ``df``.
+                     materialize: bool = True, history=None) -> DataFrame:
+    """Engineer -> drop -> numeric columns.  ``state=None`` fits on ``df``;
+    ``history`` is the saved per-key state (``keystate.KeyState``), if any.
 
     ``materialize`` checkpoints the (joined) input once before the many
     feature branches read it; see ``commerce.engineer``."""
@@ -66,7 +67,7 @@ def prepare_features(df: DataFrame, dataset_type: str, state: FeatureState | Non
                 materialize = False
             df, ranges = base, None
         state = fit_feature_state(base, dataset_type, label)
-    out = engineer(df, state, ranges, materialize=materialize)
+    out = engineer(df, state, ranges, materialize=materialize, history=history)
     if drop_columns is None:
         drop_columns = COMMERCE_DROP_COLUMNS if dataset_type == "fraud" else CARD_DROP_COLUMNS
     out = Q.drop_present(out, [c for c in drop_columns if c not in keep])

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import metrics as M
 from riskloom.operators import models as MD
+from riskloom.operators.keystate import KeyState
+from riskloom.plans import pipeline as PL
 from riskloom.plans import training as TR
 from riskloom.plans.catalog import query, r6
 from riskloom.plans.oracle import sql
-from riskloom.session import scratch_path
+from riskloom.session import cut_lineage, scratch_path
 from riskloom.sources import fixtures as X
 
 BEST = "random_forest"
@@ -130,12 +132,24 @@ def explain_contributions(spark, d):
 
 # ---------------------------------------------------------------- scoring --
 
+def _saved_scorer(spark, d, model_type=BEST):
+    """The whole scorer, saved and loaded again."""
+    path = scratch_path(spark, "scorer")
+    MD.save_bundle(spark, TR.raw_scorer(spark, d, model_type), path, {"model_type": model_type, "dataset": "fraud", "threshold": 0.5})
+    return MD.load_bundle(spark, path)
+
+
+def _new_rows(spark, d):
+    return TR.commerce_training_data(spark, d).raw.where(F.col("is_test") == 1).drop(
+        "is_test", "ip_country", "ip_as_int", "class")
+
+
 @query("score_batch")
 def score_batch(spark, d):
-    """Test rows scored by the saved pipeline, with confidence and risk band."""
-    td = TR.commerce_training_data(spark, d)
-    s = TR.scored(TR.fit(spark, d, BEST, td), td.test)
-    return r6(MD.score_details(s, 0.5, include_details=True))
+    """Raw test rows (no label, no country) through the saved scorer: feature
+    build over the batch, imputation, scaling, model, confidence, risk band."""
+    model, meta = _saved_scorer(spark, d)
+    return r6(PL.score(model, _new_rows(spark, d), meta["threshold"]))
 
 
 @query("score_details")
@@ -154,46 +168,75 @@ from scores""", "scores")
 
 @query("score_single")
 def score_single(spark, d):
-    """One transaction (the single-row request is the feature) through the same pipeline."""
-    td = TR.commerce_training_data(spark, d)
-    one = td.test.orderBy("txn_id").limit(1)
-    return r6(MD.score_details(TR.scored(TR.fit(spark, d, BEST, td), one), 0.5, include_details=True))
+    """One raw transaction (the single-row request is the feature) through the same scorer."""
+    model, meta = _saved_scorer(spark, d)
+    return r6(PL.score(model, _new_rows(spark, d).orderBy("txn_id").limit(1), meta["threshold"]))
+
+
+def history_state(spark, parts) -> KeyState:
+    """A saved per-key state, built part by part."""
+    state = KeyState(spark, scratch_path(spark, "key-state"))
+    for part in parts:
+        state.merge(cut_lineage(part, "part"))
+    return state
 
 
 @query("score_with_history")
 def score_with_history(spark, d):
-    """Unseen rows (the test split) engineered against history (training
-    rows): batch features over history + new rows, fitted state from
-    training, then the saved preprocessor and model; only new rows are kept."""
-    from riskloom.operators import prep as P
-    from riskloom.plans import commerce as C
-    from riskloom.plans import features as FT
-    td = TR.commerce_training_data(spark, d)
-    raw = C.with_country(X.commerce_txn(spark, d), X.ip_ranges(spark, d))
-    split = P.stratified_split(raw)  # history = training rows, new = test rows
-    feats = FT.prepare_features(split, "fraud", state=td.feature_state, keep=("txn_id", "is_test"))
-    new = feats.where(F.col("is_test") == 1).drop("is_test")
-    x = td.preprocessor.transform(new)
-    return r6(MD.score_details(TR.scored(TR.fit(spark, d, BEST, td), x), 0.5, include_details=True))
+    """Raw purchases of the last day scored by the saved scorer against the
+    saved per-key state of all days before: no history is read again."""
+    past, new = TR.last_day(spark, d)
+    state = history_state(spark, past)
+    model, meta = _saved_scorer(spark, d)
+    return r6(PL.score(PL.with_state(model, state.path), new, meta["threshold"]))
+
+
+STATE_FEATURES = ["device_frequency", "users_per_device", "device_usage_count", "device_freq_1h",
+                  "ip_frequency", "users_per_ip", "ip_usage_count"]
+
+
+@query("state_next_day")
+def state_next_day(spark, d):
+    """Per-key features of the last day from the state of the days before
+    (two merges) and that day's rows; equal to those over the full batch."""
+    past, new = TR.last_day(spark, d)
+    return history_state(spark, past).features(cut_lineage(new, "day")).select("txn_id", *STATE_FEATURES)
+
+
+sql("state_next_day", """
+select txn_id,
+  case when device_id is not null then count(*) over (partition by device_id) end as device_frequency,
+  u.n as users_per_device,
+  case when device_id is not null then row_number() over (partition by device_id order by purchase_time, txn_id) end as device_usage_count,
+  case when device_id is not null then
+    count(user_id) over (partition by device_id order by purchase_time
+                         range between interval '3599999999 microseconds' preceding and current row)
+    - count(user_id) over (partition by device_id, purchase_time)
+    + count(user_id) over (partition by device_id, purchase_time order by txn_id
+                           rows between unbounded preceding and current row) end as device_freq_1h,
+  case when ip_address is not null then count(*) over (partition by ip_address) end as ip_frequency,
+  v.n as users_per_ip,
+  case when ip_address is not null then row_number() over (partition by ip_address order by purchase_time, txn_id) end as ip_usage_count
+from commerce_txn t
+left join (select device_id as k, count(distinct user_id) as n from commerce_txn group by 1) u on t.device_id = u.k
+left join (select ip_address as k, count(distinct user_id) as n from commerce_txn group by 1) v on t.ip_address = v.k
+qualify date_trunc('day', purchase_time) = max(date_trunc('day', purchase_time)) over ()""", "commerce_txn")
 
 
 @query("model_save_load")
 def model_save_load(spark, d):
-    """Save the pipeline + metadata, load it back, score: identical probabilities."""
-    td = TR.commerce_training_data(spark, d)
-    m = TR.fit(spark, d, BEST, td)
-    path = scratch_path(spark, "model")
-    MD.save_bundle(spark, m, path, {"model_type": BEST, "dataset": "fraud", "threshold": 0.5,
-                                     "features": td.features})
-    m2, meta = MD.load_bundle(spark, path)
-    a = TR.scored(m, td.test).select("txn_id", F.col("fraud_probability").alias("p1"))
-    b = TR.scored(m2, td.test.select("txn_id", "class", *meta["features"])).select(
-        "txn_id", F.col("fraud_probability").alias("p2"))
+    """Save the whole scorer (feature state, medians, moments, model, IP
+    ranges), load it back, score raw rows: identical probabilities."""
+    m = TR.raw_scorer(spark, d, BEST)
+    m2, meta = _saved_scorer(spark, d)
+    new = cut_lineage(_new_rows(spark, d), "raw")
+    a = PL.score(m, new).select("txn_id", F.col("fraud_probability").alias("p1"))
+    b = PL.score(m2, new).select("txn_id", F.col("fraud_probability").alias("p2"))
     j = a.join(b, "txn_id")
     return j.agg(F.count(F.lit(1)).alias("n_rows"),
                  F.sum((F.col("p1") != F.col("p2")).cast("int")).alias("n_different"),
                  F.lit(meta["model_type"]).alias("model_type"),
-                 F.lit(len(meta["features"])).alias("n_features"))
+                 F.lit(len(m2.stages[0].features)).alias("n_features"))
 
 
 @query("score_eval_existing")

@@ -3,11 +3,15 @@ and the feature preparation entry point."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from riskloom.operators import balance as B
+from riskloom.config import DEFAULTS
 from riskloom.operators import prep as P
+from riskloom.operators.stages import ColumnScaler, MedianImputer
 from riskloom.plans import features as FT
+from riskloom.plans import pipeline as PL
 from riskloom.plans.catalog import query, r6
 from riskloom.plans.oracle import sql
 from riskloom.session import cut_lineage, scratch_path
@@ -220,9 +224,36 @@ from split where is_test = 0""", "commerce_txn", extra={"split": _split_sql("com
 @query("preprocess_pipeline")
 def preprocess_pipeline(spark, d):
     """impute -> scale -> SMOTE on train; impute -> scale on test; one table."""
-    t = P.stratified_split(X.commerce_txn(spark, d)).select("txn_id", "class", "is_test", *COMMERCE_NUMERIC)
+    from riskloom.operators.balance import smote
+    t = cut_lineage(P.stratified_split(X.commerce_txn(spark, d)).select("txn_id", "class", "is_test", *COMMERCE_NUMERIC))
     train, test = t.where(F.col("is_test") == 0), t.where(F.col("is_test") == 1)
-    pre = FT.Preprocessor(use_smote=True)
-    tr = pre.fit_transform(train, COMMERCE_NUMERIC)
-    te = pre.transform(test).withColumn("is_synthetic", F.lit(0))
-    return tr.unionByName(te)
+    pre = Pipeline(stages=[MedianImputer(inputCols=COMMERCE_NUMERIC), ColumnScaler(inputCols=COMMERCE_NUMERIC)]).fit(train)
+    tr = smote(pre.transform(train), COMMERCE_NUMERIC, label="class", key="txn_id",
+               ratio=DEFAULTS.oversample_ratio, k=DEFAULTS.smote_k, seed=DEFAULTS.seed)
+    return tr.unionByName(pre.transform(test).withColumn("is_synthetic", F.lit(0)))
+
+
+@query("preprocess_pipeline_transform")
+def preprocess_pipeline_transform(spark, d):
+    """One ``pyspark.ml`` Pipeline (features -> medians -> scaling), fitted on
+    the raw training rows, saved, loaded, and applied to all raw rows."""
+    t = _card_split(spark, d)
+    model = PL.preparation("creditcard", keep=["is_test"]).fit(t.where(F.col("is_test") == 0))
+    path = scratch_path(spark, "preparation")
+    model.write().overwrite().save(path)
+    out = PipelineModel.load(path).transform(t)
+    return r6(out.withColumn("class", F.col("class").cast("int")).withColumn("is_test", F.col("is_test").cast("int")))
+
+
+_FEATURES = {f"V{i}": f"V{i}" for i in range(1, 7)} | {
+    "scaled_time": '("Time" - tm) / ts', "scaled_amount": '("Amount" - am) / "as"',
+    "hour": '(("Time" / 3600.0) % 24 + 24) % 24', "day": 'trunc("Time" / 86400.0)', "log_amount": 'ln(1 + "Amount")',
+    "amount_category": 'case when "Amount" <= 10 then 0 when "Amount" <= 50 then 1 when "Amount" <= 100 then 2 '
+                       'when "Amount" <= 500 then 3 when "Amount" > 500 then 4 else -1 end',
+} | {f"V{i}_amount_interaction": f'V{i} * (("Amount" - am) / "as")' for i in range(1, 6)}
+sql("preprocess_pipeline_transform", f"""
+select txn_id, class, is_test, {', '.join(
+    f'round(({c} - avg({c}) filter (is_test = 0) over ()) / coalesce(nullif(stddev_pop({c}) filter (is_test = 0) over (), 0), 1), 6) as {c}' for c in _FEATURES)}
+from (select txn_id, class, is_test, {', '.join(f'cast({e} as double) as {c}' for c, e in _FEATURES.items())}
+      from split, (select avg("Time") as tm, stddev_pop("Time") as ts, avg("Amount") as am, stddev_pop("Amount") as "as"
+                   from split where is_test = 0) m)""", "card_txn", extra={"split": _split_sql("card_txn")})

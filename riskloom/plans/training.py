@@ -5,8 +5,9 @@ then the stratified split; label-dependent state (the high-risk country
 set), medians and moments are fitted on the training split only.  The
 training matrix is checkpointed into the shared checkpoint folder, so a
 lost executor does not replay the feature build and the oversampling.
-Fitted models are memoised per (data folder, model type) inside the
-process: every query that needs "the random forest" reuses one fit.
+Fitted models are memoised per session, data folder, state of its tables and
+model type: every query that needs "the random forest" reuses one fit, and a
+changed table or another session gets its own.  ``clear`` forgets them all.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from riskloom.operators import models as MD
 from riskloom.operators import prep as P
 from riskloom.plans import commerce as C
 from riskloom.plans import features as FT
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, drop_scratch, path_stamp
 from riskloom.sources import fixtures as X
 
 KEY, LABEL = "txn_id", "class"
@@ -37,15 +38,36 @@ class TrainingData:
     feature_state: FT.FeatureState
     preprocessor: FT.Preprocessor
     n_train: int
+    raw: DataFrame            # all raw rows with country and is_test
+    tables: tuple = ()        # further tables that the above read
 
 
 _DATA: dict = {}
 _MODELS: dict = {}
+_SOURCES = ("events", "nation", "region")
+
+
+def _memo(spark: SparkSession, sf_dir: str, *what) -> tuple:
+    stamps = tuple(path_stamp(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in _SOURCES)
+    key = (spark.sparkContext.applicationId, sf_dir, stamps, *what)
+    # what belongs to a session that has ended, or to tables as they were, is of no use any more
+    for memo in (_DATA, _MODELS):
+        for old in [k for k in memo if k[0] != key[0] or (k[1] == key[1] and k[2] != key[2])]:
+            del memo[old]
+    return key
+
+
+def clear() -> None:
+    """Forget all training data and models; their tables are deleted."""
+    for td in _DATA.values():
+        drop_scratch(td.train, td.raw, *td.tables)
+    _DATA.clear()
+    _MODELS.clear()
 
 
 def commerce_training_data(spark: SparkSession, sf_dir: str, use_smote: bool = DEFAULTS.oversample
                            ) -> TrainingData:
-    memo = (sf_dir, "fraud", use_smote)
+    memo = _memo(spark, sf_dir, "fraud", use_smote)
     if memo in _DATA:
         return _DATA[memo]
     raw = C.with_country(X.commerce_txn(spark, sf_dir), X.ip_ranges(spark, sf_dir))
@@ -60,14 +82,14 @@ def commerce_training_data(spark: SparkSession, sf_dir: str, use_smote: bool = D
     tr = pre.fit_transform(train.drop("is_test"), features, label=LABEL, key=KEY)
     tr = cut_lineage(tr)
     te = pre.transform(test.drop("is_test"))
-    td = TrainingData(tr, te, features, state, pre, tr.count())
+    td = TrainingData(tr, te, features, state, pre, tr.count(), split, (feats,))
     _DATA[memo] = td
     return td
 
 
 def fit(spark: SparkSession, sf_dir: str, model_type: str, td: TrainingData | None = None
         ) -> PipelineModel:
-    memo = (sf_dir, model_type)
+    memo = _memo(spark, sf_dir, model_type)
     if memo in _MODELS:
         return _MODELS[memo]
     td = td or commerce_training_data(spark, sf_dir)
@@ -77,6 +99,25 @@ def fit(spark: SparkSession, sf_dir: str, model_type: str, td: TrainingData | No
     return model
 
 
+def raw_scorer(spark: SparkSession, sf_dir: str, model_type: str) -> PipelineModel:
+    """The fitted parts as one PipelineModel that scores raw purchases."""
+    from riskloom.plans.pipeline import assemble
+    td = commerce_training_data(spark, sf_dir)
+    return assemble(td.feature_state, td.features, td.preprocessor, fit(spark, sf_dir, model_type, td),
+                    X.ip_ranges(spark, sf_dir), LABEL, KEY)
+
+
+def last_day(spark: SparkSession, sf_dir: str):
+    """(purchases before the last day, in two parts; those of the last day):
+    the past that a state is built from, and the rows to be scored."""
+    raw = X.commerce_txn(spark, sf_dir)
+    newest = raw.agg(F.max(F.date_trunc("day", "purchase_time")).alias("d")).first()["d"]
+    day = F.date_trunc("day", "purchase_time")
+    cut = F.lit(newest)
+    week = cut - F.expr("INTERVAL 7 DAYS")
+    return [raw.where(day < week), raw.where((day >= week) & (day < cut))], raw.where(day >= cut)
+
+
 def scored(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return MD.predict(model, df, threshold, keep=[KEY, LABEL])
 

@@ -97,6 +97,30 @@ def cut_lineage(df, name: str = "table"):
     return out
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, jvm_path = _hadoop(spark, path)
+    return fs.exists(jvm_path)
+
+
+def path_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, newest modification time) of a file or folder: tells whether a
+    table has changed since it was last looked at."""
+    fs, jvm_path = _hadoop(spark, path)
+    status = fs.getFileStatus(jvm_path)
+    newest = max([status.getModificationTime(), *(x.getModificationTime() for x in fs.listStatus(jvm_path))])
+    return fs.getContentSummary(jvm_path).getLength(), newest
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, jvm_path = _hadoop(spark, path)
+    fs.delete(jvm_path, True)
+
+
 def drop_scratch(*tables) -> None:
     """Delete tables that ``cut_lineage`` wrote, once what was made of them has
     been written in its turn.  Other DataFrames are left alone."""
@@ -104,5 +128,4 @@ def drop_scratch(*tables) -> None:
         path = getattr(table, "_scratch_path", None)
         if path:
             table._scratch_path = None
-            jvm_path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            delete_path(table.sparkSession, path)
