@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import models as MD
-from riskloom.plans import features as FT
+from riskloom.operators.keystate import KeyState
 from riskloom.plans import training as TR
 from riskloom.plans.catalog import query, r6
 from riskloom.plans.oracle import sql
-from riskloom.session import scratch_path
+from riskloom.session import cut_lineage, scratch_path
 from riskloom.sources import fixtures as X
 from riskloom.streaming import jobs as J
 
@@ -22,13 +22,13 @@ N_CHUNKS = 8
 
 @query("stream_velocity")
 def stream_velocity(spark, d):
-    """Per-device running count and 1h trailing count from a stateful stream;
-    equals the batch windows on in-order input."""
+    """Per-device running count and 1h trailing count from a stateful stream
+    (state per device and hour, expired by timers); equals the batch windows
+    on in-order input."""
     t = X.commerce_txn(spark, d)
     src, files = J.write_ordered_chunks(t, scratch_path(spark, "velocity-src"), "purchase_time", N_CHUNKS)
     out, ckpt = J.scratch(spark, "velocity")
-    J.run_available_now(J.stream_velocity(spark, src, t.schema, max_files=files), out, ckpt)
-    streamed = spark.read.parquet(out)
+    streamed = J.run_stream_velocity(J.stream_velocity(spark, src, t.schema, max_files=files), out, ckpt)
     nulls = t.where(F.col("device_id").isNull()).select(
         "txn_id", "device_id", F.lit(None).cast("bigint").alias("device_usage_count"),
         F.lit(None).cast("bigint").alias("device_freq_1h"), F.lit(0).alias("is_late"))
@@ -107,26 +107,15 @@ group by 1, 2, 3""", "scores")
 
 @query("stream_score")
 def stream_score(spark, d):
-    """Request rows arrive as files; every micro-batch is engineered with the
-    fitted state (batch-mode frequencies, as the modelled scorer does),
-    preprocessed and scored by the saved pipeline, then written per batch."""
-    from riskloom.operators import prep as P
-    from riskloom.plans import commerce as C
-    td = TR.commerce_training_data(spark, d)
-    model = TR.fit(spark, d, "random_forest", td)
-    raw = P.stratified_split(X.commerce_txn(spark, d)).where(F.col("is_test") == 1).drop("is_test")
-    src, files = J.write_ordered_chunks(raw, scratch_path(spark, "score-src"), "purchase_time", N_CHUNKS)
-    index = C.country_index(X.ip_ranges(spark, d))  # static side, built once
+    """Raw request rows of the last week arrive as files; every micro-batch is
+    scored by the whole scorer against the saved per-key state (begun with all
+    rows before) and then joins that state, so counts come from everything the
+    stream has seen, not from the batch alone."""
+    past, new = TR.last_week(spark, d)
+    state = KeyState(spark, scratch_path(spark, "stream-state"))
+    state.merge(cut_lineage(past, "past"))
+    src, files = J.write_ordered_chunks(new, scratch_path(spark, "score-src"), "purchase_time", N_CHUNKS)
     out, ckpt = J.scratch(spark, "score")
-    write = J.idempotent_batch_writer(out)
-
-    def score(batch, batch_id):
-        geo = C.with_country(batch, index)
-        feats = FT.prepare_features(geo, "fraud", state=td.feature_state, materialize=False)
-        x = td.preprocessor.transform(feats)
-        s = MD.score_details(TR.scored(model, x), 0.5, include_details=True)
-        write(s, batch_id)
-
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(src)
-    J.run_foreach_batch(stream, score, ckpt)
+    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", files).parquet(src)
+    J.run_foreach_batch(stream, J.score_writer(TR.raw_scorer(spark, d, "random_forest"), out, state.path), ckpt)
     return r6(spark.read.parquet(out))

@@ -107,17 +107,27 @@ def raw_scorer(spark: SparkSession, sf_dir: str, model_type: str) -> PipelineMod
                     X.ip_ranges(spark, sf_dir), LABEL, KEY)
 
 
+def _from_newest_day(spark: SparkSession, sf_dir: str, days: int) -> tuple:
+    """(purchases, day of each, the day ``days`` before the newest)."""
+    raw = X.commerce_txn(spark, sf_dir)
+    newest = raw.agg(F.max(F.date_trunc("day", "purchase_time")).alias("d")).first()["d"]
+    return raw, F.date_trunc("day", "purchase_time"), F.lit(newest) - F.make_interval(days=F.lit(days))
+
+
 def last_day(spark: SparkSession, sf_dir: str):
     """(purchases before the last day, in two parts; those of the last day):
     the past that a state is built from, and the rows to be scored."""
-    raw = X.commerce_txn(spark, sf_dir)
-    newest = raw.agg(F.max(F.date_trunc("day", "purchase_time")).alias("d")).first()["d"]
-    day = F.date_trunc("day", "purchase_time")
-    cut = F.lit(newest)
-    week = cut - F.expr("INTERVAL 7 DAYS")
+    raw, day, week = _from_newest_day(spark, sf_dir, 7)
+    _, _, cut = _from_newest_day(spark, sf_dir, 0)
     return [raw.where(day < week), raw.where((day >= week) & (day < cut))], raw.where(day >= cut)
 
 
+def last_week(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(purchases before the last seven days, those of the last seven days)."""
+    raw, day, cut = _from_newest_day(spark, sf_dir, 6)
+    return raw.where(day < cut), raw.where(day >= cut)
+
+
 def scored(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return MD.predict(model, df, threshold, keep=[KEY, LABEL])
 
