@@ -40,6 +40,11 @@ class Defaults:
     gbt_step: float = 0.05
     gbt_subsample: float = 0.8
     gbt_pos_weight: float = 11.0
+    # the second boosted-tree setting, of the learning curve
+    curve_rounds: int = 100
+    curve_depth: int = 6
+    curve_step: float = 0.1
+    curve_pos_weight: float = 1.0
     # logistic regression
     lr_max_iter: int = 1000
     # oversampling

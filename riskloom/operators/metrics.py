@@ -29,6 +29,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 F1_EPS = 1e-10
 _TARGET_SCORES_PER_BUCKET = 50_000
 _MAX_BUCKETS = 65_536
@@ -264,6 +266,32 @@ class ScoreCurve:
             safe_div(2 * tp, 2 * tp + fp + fn).alias("f1_score"))
 
 
+def grouped_auc(df: DataFrame, group: str, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
+    """(group, roc_auc) for each value of ``group`` (few: rounds, folds), with
+    the same two levels as ``prefix_desc`` inside every group: equal-count
+    buckets of its distinct scores, a window per (group, bucket), and bucket
+    offsets from at most ``buckets`` rows a group.  NULL with one class only."""
+    y = F.col(label) == 1
+    counts = cut_lineage(df.where(F.col(score).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(score).cast("double").alias("_s")).agg(
+        F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg")), "counts")
+    if buckets is None:
+        largest = counts.groupBy("_g").count().agg(F.max("count")).first()[0]
+        buckets = n_buckets_for(largest or 0)
+    probs = [i / buckets for i in range(1, buckets)] or [0.5]
+    # one row of edges per group
+    edges = F.broadcast(counts.groupBy(F.col("_g").alias("_eg")).agg(
+        F.array_distinct(F.percentile_approx("_s", probs, 20 * max(buckets, 500))).alias("_e"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N")))
+    b = counts.join(edges, F.col("_g") == F.col("_eg")).withColumn("_bkt", F.size(F.filter("_e", lambda e: e <= F.col("_s"))))
+    tot = b.groupBy(F.col("_g").alias("_tg"), F.col("_bkt").alias("_tb")).agg(F.sum("neg").alias("_bn"))
+    later = Window.partitionBy("_tg").orderBy(F.desc("_tb")).rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_tg", "_tb", F.coalesce(F.sum("_bn").over(later), F.lit(0)).alias("_on"))
+    inb = Window.partitionBy("_g", "_bkt").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = b.join(off, (F.col("_g") == F.col("_tg")) & (F.col("_bkt") == F.col("_tb"))).withColumn("fp", F.sum("neg").over(inb) + F.col("_on"))
+    area = F.sum(_d("pos") * (_d("_N") - _d("fp") + _d("neg") / 2.0))
+    both = F.first("_P") * F.first("_N")
+    return rows.groupBy(F.col("_g").alias(group)).agg(F.when(both > 0, area / _d(both)).alias("roc_auc"))
+
+
 # -------------------------------------------------------- fixed grids ------
 
 def arange_grid(start: float, stop: float, step: float) -> list[float]:

@@ -65,6 +65,13 @@ def estimator(model_type: str, features: Sequence[str], label: str = "class",
     return Pipeline(stages=[asm, clf])
 
 
+def curve_estimator(features: Sequence[str], label: str = "class", weight_col: str | None = "weight") -> Pipeline:
+    """Boosted trees in the setting of the learning curve: fewer, deeper rounds
+    in larger steps, all rows weighing the same."""
+    d = DEFAULTS
+    return estimator("xgboost", features, label, weight_col, maxIter=d.curve_rounds, maxDepth=d.curve_depth, stepSize=d.curve_step)
+
+
 def weight_for(model_type: str, df: DataFrame, label: str = "class", out: str = "weight") -> DataFrame:
     """'balanced' weights for LR/RF, fixed positive weight for the boosted trees."""
     from riskloom.operators.prep import with_class_weight

@@ -127,7 +127,12 @@ def model_train_test_f1(spark, d):
 
 @query("explain_contributions")
 def explain_contributions(spark, d):
-    return r6(TR.linear_contributions(spark, d))
+    """Mean absolute contribution per feature and model: exact for the linear
+    model, path attribution for forest and boosted trees."""
+    out = TR.linear_contributions(spark, d).withColumn("model", F.lit("logistic_regression"))
+    for t in ("random_forest", "xgboost"):
+        out = out.unionByName(TR.tree_contributions(spark, d, t).withColumn("model", F.lit(t)))
+    return r6(out)
 
 
 # ---------------------------------------------------------------- scoring --

@@ -22,6 +22,7 @@ from riskloom.config import DEFAULTS
 from riskloom.operators import metrics as M
 from riskloom.operators import models as MD
 from riskloom.operators import prep as P
+from riskloom.operators import trees as TR
 from riskloom.plans import commerce as C
 from riskloom.plans import features as FT
 from riskloom.session import cut_lineage, drop_scratch, path_stamp
@@ -191,24 +192,45 @@ def cv_summary(folds: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------- learning curve --
 
+def curve_model(spark: SparkSession, sf_dir: str, td: TrainingData) -> PipelineModel:
+    memo = _memo(spark, sf_dir, "curve")
+    if memo not in _MODELS:
+        rows = P.with_class_weight(td.train, LABEL, "weight", positive_weight=DEFAULTS.curve_pos_weight)
+        _MODELS[memo] = MD.curve_estimator(td.features, LABEL).fit(rows)
+    return _MODELS[memo]
+
+
+def round_metrics(df: DataFrame, ensemble: TR.Ensemble, features: list, label: str = LABEL, weight: str | None = None) -> DataFrame:
+    """(round, logloss, auc, error) of boosted trees after each round on
+    ``df``: one pass gives every row's staged margins, then sums per round and
+    one AUC grouped by round.  The loss is Spark's: twice the log of
+    1 + exp(-2 y margin), y in -1 and 1, weighted."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = TR.staged(df.withColumn("_w", w), ensemble, features, [label, "_w"])
+    flat = cut_lineage(rows.select(F.col(label).alias("label"), "_w", F.posexplode("margins").alias("r", "margin")).withColumn(
+        "round", F.col("r") + 1).drop("r"), "margins")
+    y = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
+    z = -2.0 * y * F.col("margin")
+    loss = 2.0 * F.when(z > 0, z + F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z)))     # no overflow
+    sums = flat.groupBy("round").agg((F.sum(loss * F.col("_w")) / F.sum("_w")).alias("logloss"),
+                                     F.avg(((F.col("margin") > 0) != (F.col("label") == 1)).cast("double")).alias("error"))
+    return sums.join(M.grouped_auc(flat, "round", "label", "margin"), "round").withColumnRenamed("roc_auc", "auc")
+
+
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees: logistic loss per round on train and validation rows
-    (``evaluateEachIteration``), final AUC on both and the overfit flag
-    (train - validation AUC > 0.05)."""
+    """Boosted trees, setting of the learning curve: log loss, AUC and error
+    after every round on train and validation rows, and the overfit flag
+    (train - validation AUC of the whole model > 0.05)."""
     td = commerce_training_data(spark, sf_dir)
-    model = fit(spark, sf_dir, "xgboost", td)
-    gbt = model.stages[-1]
-    asm = model.stages[0]
-    # the loss is weighted like the fit (positive weight), so the weight column goes along
-    tr_loss = gbt.evaluateEachIteration(asm.transform(MD.weight_for("xgboost", td.train, LABEL)))
-    va_loss = gbt.evaluateEachIteration(asm.transform(MD.weight_for("xgboost", td.test, LABEL)))
-    auc_tr = M.ScoreCurve.of(scored(model, td.train), LABEL).roc_auc().first()["roc_auc"]
-    auc_va = M.ScoreCurve.of(scored(model, td.test), LABEL).roc_auc().first()["roc_auc"]
-    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr_loss, va_loss))]
-    curve = spark.createDataFrame(rows, "round int, train_logloss double, validation_logloss double")
-    gap = (auc_tr or 0.0) - (auc_va or 0.0)
-    return curve.select("*", F.lit(auc_tr).alias("train_auc"), F.lit(auc_va).alias("validation_auc"),
-                        F.lit(int(gap > 0.05)).alias("overfit"))
+    model = curve_model(spark, sf_dir, td)
+    ensemble = TR.Ensemble.of(spark, model.stages[-1])
+    names = ("logloss", "auc", "error")
+    tr = round_metrics(td.train, ensemble, td.features).select("round", *[F.col(c).alias(f"train_{c}") for c in names])
+    va = round_metrics(td.test, ensemble, td.features).select("round", *[F.col(c).alias(f"validation_{c}") for c in names])
+    curve = cut_lineage(tr.join(va, "round"), "curve")      # one row per round
+    last = curve.orderBy(F.desc("round")).first()
+    gap = (last["train_auc"] or 0.0) - (last["validation_auc"] or 0.0)
+    return curve.withColumn("overfit", F.lit(int(gap > 0.05))).orderBy("round")
 
 
 # --------------------------------------------------------------- explain --
@@ -226,3 +248,15 @@ def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.operators.aggregates import unpivot_wide
     return unpivot_wide(wide, td.features, "feature", "mean_abs_contribution").orderBy(
         F.desc("mean_abs_contribution"), "feature")
+
+
+def tree_contributions(spark: SparkSession, sf_dir: str, model_type: str) -> DataFrame:
+    """Mean |contribution| per feature over all test rows, by path attribution
+    through every tree; base value and output add up row by row."""
+    td = commerce_training_data(spark, sf_dir)
+    ensemble = TR.Ensemble.of(spark, fit(spark, sf_dir, model_type, td).stages[-1])
+    rows = TR.contributions(td.test, ensemble, td.features, [KEY])
+    names = spark.createDataFrame(list(enumerate(td.features)), "pos int, feature string")
+    means = rows.select(F.posexplode("contributions").alias("p", "x")).groupBy("p").agg(F.avg(F.abs("x")).alias("mean_abs_contribution"))
+    return means.join(F.broadcast(names), F.col("p") == F.col("pos")).select("feature", "mean_abs_contribution").orderBy(
+        F.desc("mean_abs_contribution"), "feature")
