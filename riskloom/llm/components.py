@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, drop_scratch
 
 MAX_ROUNDS = 60
 FILE_ROWS = 250_000
@@ -46,5 +46,6 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _settled(e):
             return e
-        e = cut_lineage(_small_star(_large_star(e)).coalesce(files), "links")
+        e, old = cut_lineage(_small_star(_large_star(e)).coalesce(files), "links"), e
+        drop_scratch(old)
     raise RuntimeError("components did not settle")

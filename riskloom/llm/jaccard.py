@@ -26,9 +26,13 @@ classes a side (band against band, hash block against hash block), which
 compare the bitmaps of all classes in different components.  So no link
 between components is lost, and no pair inside one is looked at again.
 
-Only texts to be intersected are shuffled; a table of bounded size (which of
-2 ** ``FILTER_BITS`` hash buckets hold one) sorts most others out beforehand.
-Links, classes and components stay in tables.
+Texts are never shuffled to be intersected: a filter of bounded size
+(``keyfilter``) finds the rows that are wanted while the texts are scanned, and
+only their shingle arrays leave the task.  Links, classes and components stay
+in tables, which are deleted when what follows has been written.
+
+Hot shingles.  A shingle that by the sketch's count more than ``TILE`` classes
+may begin with is dealt out in parts by class hash; parts meet in the rounds.
 
 Defined cases: null or blank texts have an empty set and link with nothing; a
 text of fewer than five words is one shingle; repeated rows fall in one class;
@@ -47,8 +51,9 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import small_batches, sum_slices, table
 from riskloom.llm.components import FILE_ROWS, components
+from riskloom.llm.keyfilter import KeyFilter
 from riskloom.llm.textvec import BYTE_VALUE, IS_SPACE, LOWER, chunks, mix64, run_hashes, runs
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, drop_scratch
 
 WORDS = 5
 MIN_JACCARD = (75, 100)     # as a fraction, so that the test is exact
@@ -57,7 +62,6 @@ SLICE = 1 << 14
 TILE = 1024                 # classes per side of a tile,
 TILE_SHINGLES = 4_000_000   # and shingles they have at most
 STAR_ROUNDS = 2             # rounds against single classes before the tiles
-FILTER_BITS = 18
 BITS_PER_SHINGLE = 8
 MIN_BITS, MAX_BITS = 64, 1 << 16
 
@@ -227,8 +231,12 @@ def _prefixes(level_bc):
                 place = np.arange(len(d)) - np.repeat(begin, size)
                 head = place < np.repeat(prefix_length(size), size)
                 short = (place < np.repeat(short_prefix_length(size), size))[head]
-                yield pa.RecordBatch.from_arrays([pa.array(s[head].view(np.int64)), pa.array(ids[d[head]]), pa.array(n[d[head]], pa.int32()), pa.array(short)],
-                                                 ["token", "cid", "n", "short"])
+                # a shingle counted more than TILE times is dealt out by class
+                often = np.exp2(level[(s[head] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] / 4.0)
+                parts = np.ceil(often / TILE).astype(np.int64)
+                part = np.where(parts > 1, (ids[d[head]] >> 8) % parts, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(s[head].view(np.int64)), pa.array(part, pa.int64()), pa.array(ids[d[head]]), pa.array(n[d[head]], pa.int32()), pa.array(short)],
+                                                 ["token", "part", "cid", "n", "short"])
     return prefixes
 
 
@@ -243,41 +251,41 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --------------------------------------------------------------- candidates --
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, n, cid): the classes of every token that has two
-    or more, each with the smallest class of its band under that token."""
+    """Rows sorted by (token, part, n, cid): the classes of every token that
+    has two or more (of a token in parts: all), each with the smallest class of
+    its band under that token and part."""
     names = ["token", "band", "cid", "n", "short", "lead"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
     # what the batches before left open: the last row, its token's first row if that is still alone, its band's leader
     last = held = None
     lead_key, lead_cid = None, 0
     for b in batches:
-        tok, cid, n, short = (b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cid", "n", "short"))
+        tok, part, cid, n, short = (b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "part", "cid", "n", "short"))
         if not len(tok):
             continue
         band = band_of(n)
-        same = np.zeros(len(tok), bool)         # the row before has this token
-        same[1:] = tok[1:] == tok[:-1]
+        same = np.zeros(len(tok), bool)         # the row before has this token and part
+        same[1:] = (tok[1:] == tok[:-1]) & (part[1:] == part[:-1])
         copy = np.zeros(len(tok), bool)         # the row before is this very class
         copy[1:] = same[1:] & (cid[1:] == cid[:-1])
         if last is not None:
-            same[0] = tok[0] == last[0]
-            copy[0] = same[0] and cid[0] == last[1]
+            same[0] = (tok[0], part[0]) == last[:2]
+            copy[0] = same[0] and cid[0] == last[2]
         keep = np.flatnonzero(~copy)
-        last = (tok[-1], cid[-1])
+        last = (tok[-1], part[-1], cid[-1])
         if not len(keep):
             continue
-        tok, cid, n, band, short = tok[keep], cid[keep], n[keep], band[keep], short[keep]
+        tok, part, cid, n, band, short = tok[keep], part[keep], cid[keep], n[keep], band[keep], short[keep]
         same = np.zeros(len(tok), bool)
-        same[1:] = tok[1:] == tok[:-1]
-        open_token = lead_key[0] if lead_key else None
-        same[0] = open_token is not None and tok[0] == open_token
+        same[1:] = (tok[1:] == tok[:-1]) & (part[1:] == part[:-1])
+        same[0] = lead_key is not None and (tok[0], part[0]) == lead_key[:2]
         new_band = ~same
         new_band[1:] |= band[1:] != band[:-1]
         if same[0]:
-            new_band[0] = band[0] != lead_key[1]
+            new_band[0] = band[0] != lead_key[2]
         idx = np.maximum.accumulate(np.where(new_band, np.arange(len(tok)), -1))
         lead = np.where(idx >= 0, cid[np.maximum(idx, 0)], lead_cid)
-        paired = same.copy()                    # has a neighbour under its token
+        paired = same | (part >= 0)             # has a neighbour under its token
         paired[:-1] |= same[1:]
         out = [[] for _ in names]
         if same[0] and held is not None:
@@ -288,7 +296,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = (tok[-1], band[-1], cid[-1], n[-1], short[-1], lead[-1])
         for o, x in zip(out, (tok, band, cid, n, short, lead)):
             o.append(x[paired])
-        lead_key, lead_cid = (tok[-1], band[-1]), lead[-1]
+        lead_key, lead_cid = (tok[-1], part[-1], band[-1]), lead[-1]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, types)], names)
 
 
@@ -394,17 +402,16 @@ class _Verifier:
         pairs = cut_lineage(self.bounded(pairs), "pairs")
         wanted = pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))).distinct()
         reps = cut_lineage(self.classes.join(wanted, F.col("cid") == F.col("_w"), "left_semi")
-                           .select(F.col("th").alias("_rt"), F.col("id").alias("_ri")), "reps")
-        bucket = lambda c: F.pmod(F.col(c), F.lit(1 << FILTER_BITS))
-        # at most 2 ** FILTER_BITS rows, whatever the input
-        some = F.broadcast(reps.select(bucket("_rt").alias("_bucket")).distinct())
-        own = (self.texts.join(some, bucket("th") == F.col("_bucket"), "left_semi")
-               .join(reps, (F.col("th") == F.col("_rt")) & F.col("id").eqNullSafe(F.col("_ri")), "left_semi"))
-        sets = cut_lineage(own.select("text").mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+                           .select("cid", F.xxhash64("th", "id").alias("k")), "reps")
+        own = KeyFilter(reps.select("k").distinct()).flagged(self.texts, F.xxhash64("th", "id"), "_hit").filter("_hit").select("text")
+        sets = own.mapInArrow(_sets, "cid long, shingles binary").join(reps.select(F.col("cid").alias("_w")), F.col("cid") == F.col("_w"), "left_semi")
+        sets = cut_lineage(sets.dropDuplicates(["cid"]), "sets")
         a = sets.select(F.col("cid").alias("_ac"), F.col("shingles").alias("a_set"))
         b = sets.select(F.col("cid").alias("_bc"), F.col("shingles").alias("b_set"))
         rows = pairs.join(a, F.col("a") == F.col("_ac")).join(b, F.col("b") == F.col("_bc")).select("a", "b", "a_set", "b_set")
-        return cut_lineage(rows.mapInArrow(_linked, "u long, v long"), "links")
+        found = cut_lineage(rows.mapInArrow(_linked, "u long, v long"), "links")
+        drop_scratch(pairs, reps, sets)
+        return found
 
 
 def _relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -416,7 +423,9 @@ def _relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
         "token", "band", "cid", "n", "short", F.coalesce("_v", "cid").alias("comp"))
     rows = cut_lineage(rows.coalesce(files), "labelled")
     several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("short").alias("s")).filter("s and lo != hi").select(F.col("token").alias("_t"))
-    return cut_lineage(rows.join(several, F.col("token") == F.col("_t"), "left_semi").coalesce(files), "open")
+    still = cut_lineage(rows.join(several, F.col("token") == F.col("_t"), "left_semi").coalesce(files), "open")
+    drop_scratch(rows)
+    return still
 
 
 def _without_twins(rows: DataFrame) -> DataFrame:
@@ -437,22 +446,26 @@ def _star_pairs(rows: DataFrame, seed: int) -> DataFrame:
     return pairs.select(F.least("cid", "lead.c").alias("a"), F.greatest("cid", "lead.c").alias("b")).distinct()
 
 
-def _tile_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _tile_rows(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` (token, band, cid, n, short, comp) dealt to tiles: (tile, side,
-    cid, n, short, comp, bits)."""
+    cid, n, short, comp, bits).  A tile is two blocks of classes of a token, of
+    one band or of neighbouring ones; two blocks that are all of one component
+    make none, and no row is copied for them.  Also the table they need."""
     blocks = rows.groupBy(F.col("token").alias("_t")).agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.col("n").cast("long")) / TILE_SHINGLES)).cast("int").alias("nb"))
     rows = rows.join(blocks, F.col("token") == F.col("_t")).withColumn("i", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("nb")).cast("int"))
-    # block i of a band meets every block j of the same band (once) and of the next band up
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("to", F.explode(F.expr(
-        "array(named_struct('lo', band, 'kind', 0, 'x', least(i, j), 'y', greatest(i, j), 'side', if(i = j, 0, if(i < j, 1, 2))), "
-        "named_struct('lo', band, 'kind', 1, 'x', i, 'y', j, 'side', 1), named_struct('lo', band - 1, 'kind', 1, 'x', j, 'y', i, 'side', 2))"))).select(
-        F.xxhash64("token", "to.lo", "to.kind", "to.x", "to.y").alias("tile"), F.col("to.side").alias("side"), "cid", "n", "short", "comp")
-    rows = cut_lineage(rows, "tiles")
-    several = rows.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("side").alias("a"), F.max("side").alias("b")).filter(
-        "lo != hi and (a = 0 or a != b)").select(F.col("tile").alias("_tile"))
+    spans = cut_lineage(rows.groupBy("token", "band", "i").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "spans")
+    x = spans.select("token", F.col("band").alias("low"), F.col("i").alias("x"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    y = spans.select(F.col("token").alias("_t"), F.col("band").alias("_b"), F.col("i").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = x.join(y, (F.col("token") == F.col("_t")) & F.expr("(_b = low and x <= y) or _b = low + 1")).filter("lo1 != hi1 or lo2 != hi2 or lo1 != lo2")
+    sides = F.expr("if(_b = low and x = y, array(named_struct('b', low, 'i', x, 'side', 0)), "
+                   "array(named_struct('b', low, 'i', x, 'side', 1), named_struct('b', _b, 'i', y, 'side', 2)))")
+    deals = pairs.select("token", F.xxhash64("token", "low", "_b", "x", "y").alias("tile"), F.explode(sides).alias("to")).select(
+        F.col("token").alias("_t"), "tile", F.col("to.b").alias("_b"), F.col("to.i").alias("_i"), F.col("to.side").alias("side"))
     bits = classes.select(F.col("cid").alias("_bc"), "bits")
-    return rows.join(several, F.col("tile") == F.col("_tile"), "left_semi").join(bits, F.col("cid") == F.col("_bc")).drop("_bc")
+    tiles = (rows.drop("_t").join(deals, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b")) & (F.col("i") == F.col("_i")))
+             .select("tile", "side", "cid", "n", "short", "comp").join(bits, F.col("cid") == F.col("_bc")).drop("_bc"))
+    return tiles, spans
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -470,48 +483,66 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = cut_lineage(docs.filter("n > 0").groupBy("cid").agg(
         F.first("n").alias("n"), F.max("bits").alias("bits"), F.min(F.struct("th", "id")).alias("_r")).select("cid", "n", "bits", "_r.th", "_r.id"), "classes")
     level = spark.sparkContext.broadcast(_frequency_levels(base))
-    tokens = texts.select("text").mapInArrow(_prefixes(level), "token long, cid long, n int, short boolean")
-    groups = cut_lineage(tokens.repartition("token").sortWithinPartitions("token", "n", "cid")
+    narrow = cut_lineage(docs.select("id", "th", "n", "cid"), "docs")
+    drop_scratch(base)
+    tokens = texts.select("text").mapInArrow(_prefixes(level), "token long, part long, cid long, n int, short boolean")
+    groups = cut_lineage(tokens.repartition("token", "part").sortWithinPartitions("token", "part", "n", "cid")
                          .mapInArrow(_groups, "token long, band int, cid long, n int, short boolean, lead long"), "groups")
     verify = _Verifier(texts, classes)
-    comp = components(verify.links(groups.filter("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()))
-    rows = _without_twins(_relabelled(groups, comp))
+    comp = _joined(verify.links(groups.filter("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()))
+    first = _relabelled(groups, comp)
+    drop_scratch(groups)
+    rows = cut_lineage(_without_twins(first), "open")
+    drop_scratch(first)
     for seed in range(STAR_ROUNDS):
         links = verify.links(_star_pairs(rows, seed))
         if links.isEmpty():
+            drop_scratch(links)
             break
-        comp = components(comp.unionByName(links))
-        rows = _relabelled(rows, comp)
-    tiles = _tile_rows(rows, classes)
+        comp, old = _joined(links, comp), rows
+        rows = _relabelled(old, comp)
+        drop_scratch(old)
+    tiles, spans = _tile_rows(rows, classes)
     rest = verify.links(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").distinct())
-    comp = components(comp.unionByName(rest))
+    comp = _joined(rest, comp)
     c = comp.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    placed = docs.select("id", "th", "n", "cid").join(c, F.col("cid") == F.col("_u"), "left").select(
+    placed = narrow.join(c, F.col("cid") == F.col("_u"), "left").select(
         "id", "th", F.col("n").cast("long").alias("n_shingles"), "cid", F.when(F.col("n") > 0, F.coalesce("_v", "cid")).alias("comp"))
     smallest = placed.filter("comp is not null").groupBy(F.col("comp").alias("_k")).agg(F.min("id").alias("_low"))
-    return placed.join(smallest, F.col("comp") == F.col("_k"), "left").select(
-        "id", "th", "n_shingles", "cid", "comp", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("_low")).alias("component_id"))
+    out = cut_lineage(placed.join(smallest, F.col("comp") == F.col("_k"), "left").select(
+        "id", "th", "n_shingles", "cid", "comp", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("_low")).alias("component_id")), "linked")
+    drop_scratch(narrow, classes, rows, spans, comp)
+    return out
+
+
+def _joined(links: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+    """The components of ``links`` and of the stars ``comp``; both are deleted."""
+    out = components(links if comp is None else comp.unionByName(links))
+    drop_scratch(*[t for t in (links, comp) if t is not None])
+    return out
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each component: that of the smallest id (then of
-    the smallest text hash).  Rows with empty sets all stay."""
+    the smallest text hash).  Rows with empty sets all stay.
+
+    What goes is settled on (id, text hash) alone; a filter over these keys
+    passes the other rows as they are, so only rows that may go are shuffled."""
     cols = df.columns
-    linked = cut_lineage(link_documents(df, id_col, text_col), "linked").filter("comp is not null")
+    linked = link_documents(df, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("th").alias("th"))
-    first = linked.groupBy(F.col("comp").alias("_k")).agg(F.min(order).alias("_f"))
-    gone = (linked.join(first, F.col("comp") == F.col("_k")).filter(~(F.col("id").eqNullSafe(F.col("_f.id")) & (F.col("th") == F.col("_f.th"))))
-            .select(F.col("id").alias("_gi"), F.col("th").alias("_gt")).distinct())
-    gone = cut_lineage(gone, "gone")
-    again = cut_lineage(linked.groupBy(F.col("id").alias("_ai"), F.col("th").alias("_at")).count().filter("count > 1").select("_ai", "_at"), "again")
+    first = linked.filter("comp is not null").groupBy(F.col("comp").alias("_k")).agg(F.min(order).alias("_f"))
+    keys = linked.filter("comp is not null").groupBy("id", "th", "comp").agg(F.count(F.lit(1)).alias("copies"))
+    gone = ~(F.col("id").eqNullSafe(F.col("_f.id")) & (F.col("th") == F.col("_f.th")))
+    judged = keys.join(first, F.col("comp") == F.col("_k")).select(F.col("id").alias("_ji"), F.col("th").alias("_jt"), gone.alias("gone"), "copies")
+    # rows to look at: those that go, and those that repeat an id and text
+    judged = cut_lineage(judged.filter("gone or copies > 1"), "judged")
+    drop_scratch(linked)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"))
-    left = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left_anti")
-    on = F.col("_id").eqNullSafe(F.col("_ai")) & (F.col("_th") == F.col("_at"))
-    if again.isEmpty():
-        return left.select("_row.*")
-    # rows that repeat one id and text: one stays
-    once = left.join(again, on, "left_semi").dropDuplicates(["_id", "_th"])
-    return left.join(again, on, "left_anti").unionByName(once).select("_row.*")
+    rows = KeyFilter(judged.select(F.xxhash64("_jt", "_ji").alias("k")).distinct()).flagged(rows, F.xxhash64("_th", "_id"), "_hit")
+    seen = rows.filter("_hit").join(judged, F.col("_id").eqNullSafe(F.col("_ji")) & (F.col("_th") == F.col("_jt")), "left").filter("gone is null or not gone")
+    once = seen.filter("copies is not null").dropDuplicates(["_id", "_th"])
+    return rows.filter("not _hit").select("_row.*").unionByName(seen.filter("copies is null").select("_row.*")).unionByName(once.select("_row.*"))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):

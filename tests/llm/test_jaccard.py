@@ -4,10 +4,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 import pytest
 
 from riskloom.llm import jaccard, textvec
 from riskloom.llm.components import components
+from riskloom.llm.keyfilter import KeyFilter
 from tests.llm.conftest import prose
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -95,7 +97,8 @@ def test_groups_do_not_depend_on_batches():
     rows = sorted({(rng.randint(0, 30), n := rng.choice([4, 5, 40, 41, 300]), n * 100 + rng.randint(0, 3)) for _ in range(300)})
     rows = sorted(rows + rng.choices(rows, k=60))
     tok, n, cid = zip(*rows)
-    batch = pa.RecordBatch.from_arrays([pa.array(tok), pa.array(cid), pa.array(n, pa.int32()), pa.array([True] * len(rows))], ["token", "cid", "n", "short"])
+    batch = pa.RecordBatch.from_arrays([pa.array(tok), pa.array([-1] * len(rows)), pa.array(cid), pa.array(n, pa.int32()), pa.array([True] * len(rows))],
+                                       ["token", "part", "cid", "n", "short"])
     want = []
     for t in sorted(set(tok)):
         own = sorted({(k, c) for x, k, c in rows if x == t})
@@ -110,6 +113,36 @@ def test_groups_do_not_depend_on_batches():
         assert got == want
 
 
+def test_parts_of_a_hot_shingle_keep_single_classes():
+    rows = [(1, 0, 10, 100), (1, 0, 11, 101), (1, 2, 10, 102), (2, -1, 9, 103), (3, 1, 9, 104)]
+    tok, part, n, cid = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(tok), pa.array(part), pa.array(cid), pa.array(n, pa.int32()), pa.array([True] * 5)], ["token", "part", "cid", "n", "short"])
+    for step in (1, 2, 5):
+        out = jaccard._groups(batch.slice(i, step) for i in range(0, 5, step))
+        got = [r for b in out for r in zip(*(b.column(c).to_pylist() for c in ("token", "cid", "lead")))]
+        assert got == [(1, 100, 100), (1, 101, 100), (1, 102, 102), (3, 104, 104)]
+
+
+def test_key_filter_passes_every_key_and_few_others(spark):
+    keys = spark.range(30_000).selectExpr("xxhash64(id) as k")
+    f = KeyFilter(keys)
+    got = f.flagged(spark.range(60_000), F.xxhash64("id"), "hit").groupBy(F.expr("id < 30000").alias("own"), "hit").count().collect()
+    n = {(r["own"], r["hit"]): r["count"] for r in got}
+    assert n[True, True] == 30_000 and (True, False) not in n and n.get((False, True), 0) < 600
+    none = KeyFilter(keys.limit(0)).flagged(spark.range(10), F.xxhash64("id"), "hit")
+    assert none.filter("hit").count() == 0 and none.count() == 10
+
+
+def test_superseded_tables_are_deleted(odd, tmp_path, monkeypatch):
+    from riskloom import session
+
+    monkeypatch.setattr(session, "checkpoint_root", lambda spark: str(tmp_path))
+    jaccard.link_documents(odd).collect()
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"linked"}
+    jaccard.keep_one(odd).collect()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["judged", "linked"]
+
+
 def test_equals_brute_force(odd, odd_rows):
     assert result(odd) == brute(odd_rows)
 
