@@ -30,11 +30,11 @@ import heapq
 import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import ROW, driver_table, pack, table, unpack, word_count
-from riskloom.session import cut_lineage
+from riskloom.llm.common import ROW, WORD, driver_table, pack, table, unpack, word_count
+from riskloom.session import cut_lineage, drop_scratch
 
 N_BLOCKS = 65_536       # blocks the corpus is cut into at least
 OWN_BLOCKS = 4_096      # blocks of the smallest source, or of a line, at least (unless it has fewer words)
@@ -154,72 +154,87 @@ def _picked_before(x: str) -> str:
     return f"(_block * ({passed(k)} - {passed('0L')}) + ({x} % _block) * ({passed(k + ' + 1L')} - {passed(k)}))"
 
 
-def _lines(df: DataFrame, cols: Sequence[str], id_col: str, text_col: str, source_col: str, *, n_blocks: int = N_BLOCKS,
-           n_shards: int = N_SHARDS, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
-    """The rows (``cols`` as one struct) with their line's plan, size, and
-    their first and last word's places on the line (_at, _to)."""
-    spark = df.sparkSession
-    base = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in cols]).alias(ROW),
-        F.col(source_col).alias("_src"), F.col(id_col).alias("_id"),
-        word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"),
-    ).withColumn("_shard", F.pmod(F.col("_h"), F.lit(n_shards)).cast("int"))
-    if text_col not in cols:  # narrow: count the words once; else a second scan is cheaper than a copy of the texts
-        base = cut_lineage(base, "mix")
+def _narrow(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, n_shards: int) -> DataFrame:
+    """(_src, _id, _h, _shard) of each row."""
+    return df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumns({
+        "_shard": F.pmod(F.col("_h"), F.lit(n_shards)).cast("int"), "_src": F.col(source_col), "_id": F.col(id_col)})
+
+
+def _on_lines(base: DataFrame, n_blocks: int, max_repeat: int, seed: int) -> tuple[DataFrame, DataFrame, int, list[tuple]]:
+    """``base`` (with _src, _shard, _h and size) with its line's plan and a
+    _bucket of the line; the words before each bucket; the number of buckets;
+    the plan."""
+    spark = base.sparkSession
     stats = base.groupBy("_src", "_shard").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     plan = quota_plan([tuple(r) for r in stats], n_blocks, max_repeat, seed)
     plan_df = driver_table(spark, plan, _PLAN)
     n_buckets = max(1, -(-max([r["n"] for r in stats], default=0) // BUCKET_ROWS))
-    src = F.col("_src")
     placed = (base.withColumnRenamed("_src", "_s").withColumnRenamed("_shard", "_sh")
-              .join(plan_df, F.col("_s").eqNullSafe(src) & (F.col("_sh") == F.col("_shard")))
-              .withColumn("_bucket", F.pmod(F.shiftright("_h", 16), F.lit(n_buckets)).cast("int")))
-    offsets = (placed.groupBy("_sidx", "_shard", "_bucket").agg(F.sum("size").alias("_words"))
+              .join(plan_df, F.col("_s").eqNullSafe(F.col("_src")) & (F.col("_sh") == F.col("_shard")))
+              .withColumn("_bucket", _bucket(n_buckets)))
+    offsets = (placed.groupBy("_sidx", "_shard", "_bucket").agg(F.sum("size").alias("_words"), F.first("_before").alias("_b4"),
+                                                                F.first("_quota").alias("_q"), F.first("source_size").alias("_all"))
                .withColumn("_off", F.sum("_words").over(Window.partitionBy("_sidx", "_shard").orderBy("_bucket")) - F.col("_words"))
-               .select(F.col("_sidx").alias("_i"), F.col("_shard").alias("_j"), F.col("_bucket").alias("_b"), "_off"))
-    inside = Window.partitionBy("_sidx", "_shard", "_bucket").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    return (placed.withColumn("_in", F.sum("size").over(inside) - F.col("size"))
-            .join(offsets, (F.col("_sidx") == F.col("_i")) & (F.col("_shard") == F.col("_j")) & (F.col("_bucket") == F.col("_b")))
-            .withColumn("_at", F.col("_off") + F.col("_in")).withColumn("_to", F.col("_at") + F.col("size")))
+               .withColumnsRenamed({"_sidx": "_i", "_shard": "_j", "_bucket": "_b"}))
+    return placed, offsets, n_buckets, plan
+
+
+def _bucket(n_buckets: int) -> Column:
+    return F.pmod(F.shiftright("_h", 16), F.lit(n_buckets)).cast("int")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-        keep: Sequence[str] | None = None, **how) -> DataFrame:
+        keep: Sequence[str] | None = None, n_blocks: int = N_BLOCKS, n_shards: int = N_SHARDS, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
     """``df`` (its columns, or ``keep`` of them) with size, source_size,
     target and taken: the words the mix takes of each document."""
     cols = list(df.columns if keep is None else keep)
-    line = _lines(df, cols, id_col, text_col, source_col, **how)
+    base = _narrow(pack(df.select(*[f"`{c}`" for c in dict.fromkeys([*cols, id_col, text_col, source_col])])).withColumns(
+        {"_mi": F.col(ROW)[id_col], "_mt": F.col(ROW)[text_col], "_ms": F.col(ROW)[source_col]}), "_mi", "_mt", "_ms", seed, n_shards)
+    own = F.struct(*[F.col(ROW)[c].alias(c) for c in cols]).alias(ROW)
+    base = base.select(own, "_src", "_id", "_h", "_shard", word_count(F.col("_mt")).alias("size"))
+    if text_col not in cols:  # narrow: count the words once; else a second scan is cheaper than a copy of the texts
+        base = cut_lineage(base, "mix")
+    placed, offsets, _, _ = _on_lines(base, n_blocks, max_repeat, seed)
+    offsets = offsets.select("_i", "_j", "_b", "_off")
+    inside = Window.partitionBy("_sidx", "_shard", "_bucket").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = (placed.withColumn("_in", F.sum("size").over(inside) - F.col("size"))
+            .join(offsets, (F.col("_sidx") == F.col("_i")) & (F.col("_shard") == F.col("_j")) & (F.col("_bucket") == F.col("_b")))
+            .withColumn("_at", F.col("_off") + F.col("_in")).withColumn("_to", F.col("_at") + F.col("size")))
     taken = F.expr(f"cast(_passes * size + {_picked_before('_to')} - {_picked_before('_at')} as bigint)")
     return unpack(line.withColumn("taken", taken), cols, "size", "source_size", "target", "taken")
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
+                    n_blocks: int = N_BLOCKS, n_shards: int = N_SHARDS, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
     """The mix in whole documents, with the columns of ``df``: each source is
     within half a document of its quota and no text is cut.  Documents without
-    words have nothing to weigh and pass once."""
-    cols = df.columns
-    line = _lines(df, cols, id_col, text_col, source_col, **how)
-    copies = F.expr("_quota div source_size + if(2 * (_before + _at) + size <= 2 * (_quota % source_size), 1, 0)")
-    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("int")
-    return unpack(line.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))), cols)
-
-
-def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix to the word, with the columns of ``df``: a document taken ``t`` words
-    of ``s`` appears ``t div s`` times whole and, if words are left, once more
-    with the first ``t mod s`` of its words.  Documents without words have
-    nothing to weigh and pass once, so that nothing is lost silently."""
-    cols = df.columns
-    m = mix(pack(df).select(F.col(ROW), F.col(ROW)[id_col].alias("_mid"), F.col(ROW)[text_col].alias("_mtext"), F.col(ROW)[source_col].alias("_msrc")),
-            "_mid", "_mtext", "_msrc", **how)
-    whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(1)).cast("int")
-    rest = F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(F.lit(0))
-    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    out = m.withColumn("_part", F.explode(parts))
-    cut = F.expr(r"regexp_extract(_mtext, concat(r'^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){', _part, '}+'), 0)")
-    text = F.when(F.col("_part") > 0, cut).otherwise(F.col("_mtext"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(ROW)[c].alias(c) for c in cols])
+    words have nothing to weigh and pass once.
+
+    A source's documents up to some place on its line are taken once more than
+    the others.  The place lies in one bucket; all other buckets are decided
+    from one row per source, so only the texts of that bucket are shuffled."""
+    cols, spark = df.columns, df.sparkSession
+    rows = _narrow(pack(df).withColumns({"_mi": F.col(ROW)[id_col], "_mt": F.col(ROW)[text_col], "_ms": F.col(ROW)[source_col]}), "_mi", "_mt", "_ms", seed, n_shards)
+    narrow = cut_lineage(rows.select("_src", "_id", "_h", "_shard", word_count(F.col("_mt")).alias("size")), "mix")
+    _, offsets, n_buckets, plan = _on_lines(narrow, n_blocks, max_repeat, seed)
+    key = F.col("_j") * F.lit(n_buckets) + F.col("_b")
+    rest = F.expr("_q % greatest(_all, 1L)")
+    at = F.col("_b4") + F.col("_off")
+    ends = offsets.groupBy("_i").agg(F.min(F.when(at + F.col("_words") > rest, F.struct(key.alias("k"), at.alias("at")))).alias("e"),
+                                     F.first("_q").alias("_q"), F.first("_all").alias("_all"))
+    names = {p[2]: p[0] for p in plan}
+    found = [(names[r["_i"]], r["_q"] // max(1, r["_all"]), r["_q"] % max(1, r["_all"]), *(tuple(r["e"]) if r["e"] else (1 << 60, 0))) for r in ends.collect()]
+    drop_scratch(narrow)
+    cuts = driver_table(spark, found, "_of string, _each long, _rest long, _end long, _from long")
+    rows = rows.join(cuts, F.col("_src").eqNullSafe(F.col("_of"))).withColumn("_key", F.col("_shard") * F.lit(n_buckets) + _bucket(n_buckets))
+    some = F.coalesce(F.col("_mt").rlike(WORD), F.lit(False))
+    cut = some & (F.col("_key") == F.col("_end"))
+    copies = F.when(~some, 1).otherwise(F.col("_each") + (F.col("_key") < F.col("_end")).cast("int"))
+    whole = rows.filter(~cut).select(ROW, copies.cast("int").alias("_n"))
+    inside = Window.partitionBy("_src").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.filter(cut).withColumn("size", word_count(F.col("_mt"))).withColumn("_at", F.col("_from") + F.sum("size").over(inside) - F.col("size"))
+    part = near.select(ROW, (F.col("_each") + F.when(2 * F.col("_at") + F.col("size") <= 2 * F.col("_rest"), 1).otherwise(0)).cast("int").alias("_n"))
+    return unpack(whole.unionByName(part).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n")))), cols)
 
 
 def op10_mixing_sources_to_target_weights(spark, sf_dir):

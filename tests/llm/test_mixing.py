@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -67,19 +68,31 @@ def test_mix_meets_targets(odd, odd_rows):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_mixed_texts_hold_the_words_taken(odd):
-    taken = Counter()
-    for r in mixing.mix(odd, keep=["doc_id", "text"]).collect():
-        taken[(r["doc_id"], r["text"])] += r["taken"]
-    mixed = mixing.mixed_texts(odd)
-    assert mixed.columns == odd.columns
-    words = Counter()
-    for r in mixed.collect():
-        words[r["doc_id"]] += len((r["text"] or "").split())
-    by_id = Counter()
-    for (i, _), n in taken.items():
-        by_id[i] += n
-    assert {i: n for i, n in words.items() if n} == {i: n for i, n in by_id.items() if n}
+@pytest.mark.parametrize("bucket_rows", [2, 7, 20_000])
+def test_whole_documents_against_the_line_itself(odd, monkeypatch, bucket_rows):
+    """Copies by walking along each source's line, document by document."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rows = odd.selectExpr("doc_id", "text", "source", "xxhash64(7, doc_id, text) as h", "pmod(xxhash64(7, doc_id, text), 16) as shard").collect()
+    rows = [(r, len([w for w in re.split("[\x20\x09-\x0d]+", r["text"] or "") if w])) for r in rows]
+    line = Counter()
+    for r, n in rows:
+        line[r["source"], r["shard"]] += n
+    count = Counter((r["source"], r["shard"]) for r, _ in rows)
+    plan = mixing.quota_plan([(*k, n, count[k]) for k, n in line.items()])
+    quota = {p[0]: p[-1] for p in plan}
+    size, _ = brute_targets([(0, r["text"], 0, r["source"]) for r, _ in rows])
+    n_buckets = max(1, -(-max(count.values()) // bucket_rows))
+    want, at = Counter(), Counter()
+    for r, n in sorted(rows, key=lambda x: (x[0]["shard"], (x[0]["h"] >> 16) % n_buckets, x[0]["h"], x[0]["doc_id"] or -1, x[1])):
+        s = r["source"]
+        if n:
+            want[r["doc_id"], r["text"]] += quota[s] // size[s] + (2 * at[s] + n <= 2 * (quota[s] % size[s]))
+        else:
+            want[r["doc_id"], r["text"]] += 1
+        at[s] += n
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == +want
 
 
 @pytest.mark.parametrize("n_blocks", [4, 100, mixing.N_BLOCKS])
@@ -144,4 +157,4 @@ def test_pipeline_places_whole_documents(spark):
 
 def test_empty(empty):
     assert mixing.mix(empty).count() == 0
-    assert mixing.mixed_texts(empty).count() == 0
+    assert mixing.mixed_documents(empty).count() == 0
