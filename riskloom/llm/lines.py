@@ -1,7 +1,9 @@
 """Line deduplication by distinct-site spread.
 
 A line that stands on many sites is boilerplate, however often; a line that
-one site repeats is not.  Per line hash a HyperLogLog sketch of the sites is
+one site repeats is not.  Many is ``SITE_SHARE`` of the sites there are, but
+``FEW_SITES`` at least and no more than ``MANY_SITES``: where sites are few a
+quarter of them is, and where they are thousands ten unrelated sites are.  Per line hash a HyperLogLog sketch of the sites is
 aggregated (partial sketches merge in the shuffle, so a line that fills a
 third of the corpus costs one sketch per task).  Lines whose estimate is clear
 of the threshold are decided by it; for those within ``NEAR`` of it the sites
@@ -13,19 +15,23 @@ with their removals again.
 
 Defined cases: null text stays null and has no lines; blank lines are neither
 counted nor removed; a null site is no site; rows that repeat an id are first
-together; a text keeps its other lines and its line ends; an empty table gives
-an empty result.
+together; a text keeps its other lines and its line ends; texts
+and lines of any length are whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import ROW, WORD, pack, table, unpack
 from riskloom.session import cut_lineage
 
-MIN_SITES = 10     # sites from which a line is boilerplate
+SITE_SHARE = 0.25  # of all sites: a line on so many is boilerplate,
+FEW_SITES = 3      # on no fewer than these,
+MANY_SITES = 10    # and on so many always
 NEAR = 0.15        # relative distance to the threshold within which sites are counted exactly
 LG_K = 12          # 2 ** LG_K registers: standard error 1.6 %, exact for few sites
 
@@ -38,7 +44,12 @@ def _lines(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFram
         "id", "th", "site", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("len"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def threshold(n_sites: int) -> int:
+    """Sites from which a line is boilerplate, where there are ``n_sites``."""
+    return max(FEW_SITES, min(MANY_SITES, ceil(SITE_SHARE * n_sites)))
+
+
+def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     """(h, len, first) of the lines on at least ``min_sites`` sites."""
     spread = lines.groupBy("h", "len").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.count(F.lit(1)).alias("n"),
@@ -53,9 +64,12 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def remove_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                       min_sites: int = MIN_SITES) -> DataFrame:
+                       min_sites: int | None = None) -> DataFrame:
     """``df`` with boilerplate lines removed from ``text_col``, and n_lines
-    (with a word, before) and n_removed."""
+    (with a word, before) and n_removed.  ``min_sites`` is by default the
+    ``threshold`` for the distinct sites of all rows."""
+    if min_sites is None:
+        min_sites = threshold(df.select(F.col(site_col).alias("s")).distinct().agg(F.count("s")).first()[0])
     lines = cut_lineage(_lines(df, id_col, text_col, site_col), "lines")
     spread = cut_lineage(boilerplate(lines, min_sites), "boilerplate")
     b = spread.select(F.col("h").alias("_h"), F.col("len").alias("_l"), "first")
@@ -87,7 +101,8 @@ with l as (
                generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)),
 s as (select line, count(distinct source) as sites from l where has_word group by line),
 r as (
-  select l.*, has_word and s.sites >= {MIN_SITES}
+  select l.*, has_word and s.sites >= (
+             select greatest({FEW_SITES}, least({MANY_SITES}, ceil({SITE_SHARE} * count(distinct source)))) from documents)
            and row_number() over (partition by l.line order by doc_id, pos) > 1 as gone
   from l left join s on l.line = s.line and l.has_word),
 k as (

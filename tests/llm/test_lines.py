@@ -1,7 +1,9 @@
+import random
 import re
 from collections import defaultdict
 
 from riskloom.llm import lines
+from tests.llm.conftest import prose
 
 WORD = re.compile("[^\x20\x09-\x0d]")
 
@@ -46,5 +48,29 @@ def test_exact_count_decides_near_the_threshold(spark):
     assert b.count() == 3
 
 
+def test_threshold_follows_the_sites_there_are():
+    assert [lines.threshold(n) for n in (0, 1, 6, 12, 13, 20, 37, 40, 10 ** 6)] == [3, 3, 3, 3, 4, 5, 10, 10, 10]
+
+
+def _shared(rows, line):
+    return sum(line in t for _, t, _, _ in rows)
+
+
+def test_few_sites_and_one_that_holds_a_third(spark):
+    rng = random.Random(4)
+    line = "a passage that documents of many sites have in common"
+    six = [(i, prose(rng, 20) + (f"\n{line}" if i % 4 == 0 else ""), "en", f"s{i % 6}") for i in range(120)]
+    # a third of all rows from one site, the passage in 25 documents drawn over all
+    hot = [(i, prose(rng, 20), "en", "hot" if rng.random() < 1 / 3 else f"s{rng.randint(1, 19)}") for i in range(600)]
+    own = set(rng.sample(range(600), 25))
+    hot = [(i, t + f"\n{line}" if i in own else t, la, s) for i, t, la, s in hot]
+    for rows in (six, hot):
+        assert _shared(rows, line) >= 25
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        got = [tuple(r) for r in lines.remove_boilerplate(df).select("doc_id", "text", "n_lines", "n_removed").collect()]
+        assert sorted(got, key=str) == brute(rows, lines.threshold(len({r[3] for r in rows})))
+        assert sum(line in t for _, t, _, _ in got) == 1
+
+
 def test_empty(empty):
     assert lines.remove_boilerplate(empty).count() == 0

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -6,10 +7,11 @@ import __spark_entry__ as E
 import corpus_pipeline
 from riskloom.llm import bpe, lines
 from riskloom.session import cut_lineage
+from tests.llm.conftest import prose
 from tests.llm.test_jaccard import brute, shingles
 from tests.llm.test_lines import brute as brute_lines
 
-OPS = [f"op{n}_" for n in range(1, 11)]
+OPS = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_every_operator_and_the_pipeline_are_registered():
@@ -36,7 +38,7 @@ def test_stages_one_by_one(spark, odd, odd_rows):
     assert all(r.lang for r in kept)
     # 2: as the lines operator's brute force says, without the emptied
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in kept]
-    want = [(i, t) for i, t, _, gone in brute_lines(rows, lines.MIN_SITES) if not gone or t.strip(" \t\n\x0b\x0c\r")]
+    want = [(i, t) for i, t, _, gone in brute_lines(rows, lines.threshold(len({s for *_, s in rows if s is not None}))) if not gone or t.strip(" \t\n\x0b\x0c\r")]
     second = out["line_dedup"].collect()
     assert sorted(((r.doc_id, r.text) for r in second), key=str) == sorted(want, key=str)
     assert all(r.n_chars == len(r.text) for r in second)
@@ -74,6 +76,18 @@ def test_texts_of_many_languages_stay_and_unknown_scripts_go(spark, n_langs):
     assert all(r.lang for r in kept)
 
 
+def test_texts_mostly_in_unknown_scripts_go(spark):
+    """Known is counted in letters: one known word saves no foreign text, and
+    a foreign quotation condemns no known one."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 60), "en", "s") for i in range(30)] + [(100 + i, prose(rng, 60, "fr"), "fr", "s") for i in range(30)]
+    foreign = "\u4e2d\u6587"
+    rows += [(200, "word " + f"{foreign} " * 50, None, "s"), (201, prose(rng, 5) + f" {foreign}" * 95, None, "s"),
+             (202, prose(rng, 95) + f" {foreign}" * 5, None, "s"), (203, prose(rng, 60) + f" {foreign}" * 40, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()) == [*range(30), *range(100, 130), 202, 203]
+
+
 def test_empty_table(spark, empty):
     docs = empty
     for name, stage in corpus_pipeline.STAGES:
@@ -81,13 +95,13 @@ def test_empty_table(spark, empty):
         assert docs.count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_warc", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_warc", "op5_line_dedup", "op12_centroid_clustering"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     got = E.queries()[name](spark, sf)
     cur = con.execute(E.oracle_sql()[name])
