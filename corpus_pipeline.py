@@ -4,8 +4,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.  All but the last return
 the columns of docs.
 
-1. language_id     texts without a word in a script of some learnt language go;
-                   a missing ``lang`` is filled with the prediction.
+1. language_id     texts of which less than ``KNOWN_SHARE`` of the letters is in
+                   scripts of learnt languages go; a missing ``lang`` is filled
+                   with the prediction.
 2. line_dedup      boilerplate lines of many sites are taken out; a text that
                    has no words left goes.
 3. ngram_jaccard   of each group of near copies one document stays.
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, jaccard, langid, lines, mixing
 from riskloom.llm.common import WORD
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, drop_scratch
+
+
+KNOWN_SHARE = 0.2   # of a text's letters (bytes of UTF-8) in words of a script that some learnt language is written in
 
 
 def _recount(df: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.filter(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
     found = langid.predict(rows, model, "row.text", with_known=True).filter(
-        (F.col("lang_pred") != langid.UNKNOWN) & (F.col("known") > 0))
+        (F.col("lang_pred") != langid.UNKNOWN) & (F.col("known") >= KNOWN_SHARE))
     lang = F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang")
     return found.select(*[lang if c == "lang" else F.col("row")[c].alias(c) for c in cols])
 
@@ -80,5 +84,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+        docs, before = cut_lineage(stage(spark, docs, sf_dir), name), docs
+        drop_scratch(before)
     return docs
