@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,19 +210,55 @@ def corr_with_label(df: DataFrame, columns: Sequence[str], label: str = "class",
     return ranked
 
 
+_GRAM_PARTS = 64      # first level of the sums, so no group holds a row of every task
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Full Pearson matrix in long form (col_a, col_b, corr); upper triangle in one pass."""
+    """Full Pearson matrix in long form (col_a, col_b, corr), over the rows in
+    which both columns have a value; NULL where fewer than two are left or one
+    of the columns doesn't vary there.  NaN is no value.
+
+    One pass: every task adds up its rows' Gram matrices (counts, sums and
+    products over the rows that both columns have, by matrix products over
+    blocks of rows) and gives one row per column with arrays over the others;
+    these are added in two levels.  Plan and expressions don't grow with the
+    columns.  Values are taken relative to the first row's, so large offsets
+    cost no digits."""
     cols = list(columns)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    wide = df.agg(*[F.corr(_dbl(cols[i]), _dbl(cols[j])).alias(f"c_{i}_{j}") for i, j in pairs])
-    cells = []
-    for i, j in pairs:
-        cells.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                              F.col(f"c_{i}_{j}").alias("corr")))
-        if i != j:
-            cells.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"),
-                                  F.col(f"c_{i}_{j}").alias("corr")))
-    return wide.select(F.explode(F.array(*cells)).alias("r")).select("r.col_a", "r.col_b", "r.corr")
+    x = [_dbl(c) for c in cols]
+    # any value near the column's will do as origin; the first makes a constant column exactly 0
+    first = df.agg(*[F.first(F.when(~F.isnan(v), v), ignorenulls=True).alias(f"o{i}") for i, v in enumerate(x)]).first()
+    origin = np.array([0.0 if v is None else v for v in first])
+    rows = df.select(*[v.alias(f"c{i}") for i, v in enumerate(x)])
+    schema = "part int, i int, n array<double>, sx array<double>, sxx array<double>, sxy array<double>"
+    names = ["part", "i", "n", "sx", "sxx", "sxy"]
+
+    def gram(batches):
+        p = len(origin)
+        total = np.zeros((4, p, p))
+        for b in batches:
+            v = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)]).astype(np.float64) - origin
+            has = ~np.isnan(v)
+            v, h = np.where(has, v, 0.0), has.astype(np.float64)
+            total += np.stack((h.T @ h, v.T @ h, (v * v).T @ h, v.T @ v))     # [i, j]: of column i where j has a value
+        part = TaskContext.get().partitionId() % _GRAM_PARTS
+        yield pa.RecordBatch.from_arrays([pa.array([part] * p, pa.int32()), pa.array(range(p), pa.int32()),
+                                          *[pa.array(list(m), pa.list_(pa.float64())) for m in total]], names)
+
+    def add(t: pa.Table) -> pa.Table:
+        sums = [pa.array([np.sum([np.asarray(r) for r in t.column(c).to_pylist()], axis=0)], pa.list_(pa.float64())) for c in names[2:]]
+        return pa.table(dict(zip(names, [t.column("part")[:1], t.column("i")[:1], *sums])))
+    parts = rows.mapInArrow(gram, schema).groupBy("part", "i").applyInArrow(add, schema)
+    sums = parts.groupBy("i").applyInArrow(add, schema)
+    cells = sums.select("i", F.posexplode(F.arrays_zip("n", "sx", "sxx", "sxy")).alias("j", "s")).select("i", "j", "s.*")
+    # the other column's sums are in the transposed cell
+    other = cells.select(F.col("i").alias("_j"), F.col("j").alias("_i"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
+    both = cells.join(other, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")))
+    n = F.when(F.col("n") > 1, F.col("n"))
+    vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
+    corr = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.when((vx > 0) & (vy > 0), F.sqrt(vx * vy)))
+    name = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.get(name, F.col("i")).alias("col_a"), F.get(name, F.col("j")).alias("col_b"), corr.alias("corr"))
 
 
 def box_stats(df: DataFrame, value: str, by: str = "class") -> DataFrame:
