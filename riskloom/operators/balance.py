@@ -7,16 +7,23 @@ takes a minority row ``x``, one of its ``k`` nearest minority neighbours
 re-run - or a recomputed partition after an executor loss - gives the same
 rows.
 
-Exact k-NN is computed block-by-block: minority rows are hashed into ``B``
-blocks (``B`` grows with the minority size so a block stays near
-``block_rows``); every (query block, reference block) pair is one
-``cogroup().applyInPandas`` task that keeps the ``k`` best candidates per
-query with numpy (chunked distance matrices), and a final per-query
-aggregate keeps the ``k`` best of the ``k * B`` candidates.  Work is
-quadratic in the minority size, as exact k-NN is; no row pairs are
-emitted, only ``k`` candidates per query and block.  For very large
-minorities, class weights (``prep.with_class_weight``) are the linear
-alternative and the default of the boosted-tree model.
+Exact k-NN goes through a pivot index.  Equal points are one *vector* with the
+``k + 1`` smallest of its keys (no more can be among anybody's neighbours), so
+copies cost nothing.  Vectors belong to the nearest of ``n / block_rows``
+pivots (picked by hash); a pivot with more vectors is cut into cells by hash.
+
+1. In its own cell every vector finds its neighbours; the distance ``u`` of the
+   k-th is an upper bound of the true one.
+2. By the triangle inequality a cell with pivot ``p`` and radius ``r`` can hold
+   a nearer one only if ``d(x, p) - r <= u``.  A vector is sent to these cells
+   alone, and each cell's vectors are there once; a task compares one cell with
+   a chunk of the vectors sent to it.
+
+So work follows how many cells a neighbourhood touches, not the square of the
+minority; in many dimensions without structure that is most cells, and class
+weights (``prep.with_class_weight``) are the linear alternative and the default
+of the boosted-tree model.  Pivots are at most ``MAX_PIVOTS`` rows; they reach
+the driver and are broadcast.
 """
 
 from __future__ import annotations
@@ -26,13 +33,15 @@ import warnings
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from riskloom.session import cut_lineage
 
 _HASH_BUCKET_BITS = 16
 _QUERY_CHUNK = 1024
+MAX_PIVOTS = 4096
 
 
 def dense_index(df: DataFrame, order_hash, key: str, out: str = "_idx") -> DataFrame:
@@ -53,64 +62,145 @@ def dense_index(df: DataFrame, order_hash, key: str, out: str = "_idx") -> DataF
     return out_df.drop("_oh", "_ob", "_off")
 
 
-def _knn_block_fn(features: Sequence[str], key: str, k: int):
-    fcols = list(features)
-
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"qkey": pd.Series([], dtype="int64"),
-                                 "nkey": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        qx = q[fcols].to_numpy(dtype=np.float64)
-        rx = r[fcols].to_numpy(dtype=np.float64)
-        qk = q[key].to_numpy(dtype=np.int64)
-        rk = r[key].to_numpy(dtype=np.int64)
-        r2 = (rx * rx).sum(axis=1)
-        outs = []
-        kk = min(k + 1, len(rk))
-        for s in range(0, len(qk), _QUERY_CHUNK):
-            xs = qx[s:s + _QUERY_CHUNK]
-            d2 = (xs * xs).sum(axis=1)[:, None] - 2.0 * xs @ rx.T + r2[None, :]
-            np.maximum(d2, 0.0, out=d2)
-            d2[qk[s:s + _QUERY_CHUNK][:, None] == rk[None, :]] = np.inf  # self excluded
-            idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < len(rk) else \
-                np.tile(np.arange(len(rk)), (len(xs), 1))
-            rows = np.repeat(np.arange(len(xs)), idx.shape[1])
-            cols = idx.ravel()
-            dist = np.sqrt(d2[rows, cols])
-            ok = np.isfinite(dist)
-            outs.append(pd.DataFrame({"qkey": qk[s:s + _QUERY_CHUNK][rows[ok]], "nkey": rk[cols[ok]],
-                                      "dist": dist[ok]}))
-        return pd.concat(outs, ignore_index=True)
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances, 0 or more."""
+    d2 = (x * x).sum(axis=1)[:, None] - 2.0 * x @ y.T + (y * y).sum(axis=1)[None, :]
+    return np.maximum(d2, 0.0, out=d2)
+
+
+def _point(features: Sequence[str]):
+    return F.array(*[F.col(f).cast("double") + F.lit(0.0) for f in features])     # -0.0 is 0.0
+
+
+def _vectors(points: DataFrame, features: Sequence[str], key: str, k: int, parts: int) -> DataFrame:
+    """(vid, f, keys): each distinct point once, with its k + 1 smallest keys
+    in order.  Ranked first inside ``parts`` hash parts of a point's keys, then
+    over what is left, so a point that a third of all rows share is no group
+    of its own size anywhere."""
+    base = points.select(_point(features).alias("f"), F.col(key).cast("bigint").alias("key"))
+    base = base.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    small = F.row_number().over(Window.partitionBy("f", "part").orderBy("key"))
+    few = base.withColumn("r", small).where(F.col("r") <= k + 1).groupBy("f", "part").agg(F.collect_list("key").alias("keys"))
+    return few.groupBy("f").agg(F.flatten(F.collect_list("keys")).alias("keys")).select(
+        F.xxhash64("f").alias("vid"), "f", F.slice(F.array_sort("keys"), 1, k + 1).alias("keys"))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _to_pivots(pivots_bc, width: int):
+    """Rows of vectors -> the same with the nearest pivot and its distance."""
+    def run(batches):
+        pivots = pivots_bc.value
+        for b in batches:
+            x = _matrix(b.column("f"), width)
+            d2 = _distances(x, pivots)
+            p = d2.argmin(1)
+            # measured directly: the radius must not suffer from cancellation
+            d = np.sqrt(((x - pivots[p]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("vid", "f", "keys")], pa.array(p.astype(np.int32)), pa.array(d)], ["vid", "f", "keys", "pivot", "dist"])
+    return run
+
+
+def _best_of(width: int, k: int):
+    """One cell (right) and vectors sent to it (left): for each of these the
+    cell's k + 1 nearest vectors, with their keys."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"vid": [], "dist": [], "keys": []}
+        if left.num_rows and right.num_rows:
+            y, keys = _matrix(right.column("f").combine_chunks(), width), right.column("keys").to_pylist()
+            first = np.array([x[0] for x in keys])
+            queries, ids = _matrix(left.column("f").combine_chunks(), width), left.column("vid").to_pylist()
+            kk = min(k + 1, len(y))
+            for s in range(0, len(queries), _QUERY_CHUNK):
+                d2 = _distances(queries[s:s + _QUERY_CHUNK], y)
+                for i, row in enumerate(d2):
+                    if kk < len(y):
+                        edge = np.partition(row, kk - 1)[kk - 1]
+                        at = np.flatnonzero(row <= edge + 1e-9 * (1 + edge))
+                    else:
+                        at = np.arange(len(y))
+                    # the few that count, exactly: equal points are at distance 0
+                    near = np.sqrt(((queries[s + i] - y[at]) ** 2).sum(1))
+                    order = np.lexsort((first[at], near))[:kk]
+                    out["vid"] += [ids[s + i]] * len(order)
+                    out["dist"] += near[order].tolist()
+                    out["keys"] += [keys[j] for j in at[order]]
+        return pa.table([pa.array(out["vid"], pa.int64()), pa.array(out["dist"], pa.float64()), pa.array(out["keys"], pa.list_(pa.int64()))], ["vid", "dist", "keys"])
+    return run
+
+
+def _cells_to_visit(pivots_bc, radii_bc, width: int):
+    """(vid, f, pivot, cell of its own, u) -> one row per pivot whose cells may
+    hold a nearer vector."""
+    def run(batches):
+        pivots, radii = pivots_bc.value, radii_bc.value
+        for b in batches:
+            x, u = _matrix(b.column("f"), width), b.column("u").to_numpy(zero_copy_only=False)
+            for s in range(0, len(x), _QUERY_CHUNK):
+                d = np.sqrt(_distances(x[s:s + _QUERY_CHUNK], pivots))
+                bound = u[s:s + _QUERY_CHUNK][:, None]
+                # slack for rounding: a cell too many does no harm
+                rows, to = np.nonzero(d - radii[None, :] <= bound + 1e-6 * (1 + d))
+                at = pa.array(rows + s)
+                yield pa.RecordBatch.from_arrays([b.column("vid").take(at), b.column("f").take(at), pa.array(to.astype(np.int32)),
+                                                  b.column("pivot").take(at), b.column("cell").take(at)], ["vid", "f", "to", "pivot", "cell"])
     return run
 
 
 def knn_within(points: DataFrame, features: Sequence[str], key: str, k: int = 5,
-               block_rows: int = 10_000, n_points: int | None = None) -> DataFrame:
+               block_rows: int = 10_000, n_points: int | None = None, visits: list | None = None) -> DataFrame:
     """Exact k nearest neighbours of every row among the same rows.
 
     Returns ``(qkey, rank, nkey, dist)`` with rank 1..k (ties by key).
+    ``visits`` receives how many (vector, cell) comparisons were asked for
+    beyond the own cell, and how many there could have been.
     """
+    spark, width = points.sparkSession, len(features)
     n = n_points if n_points is not None else points.count()
-    B = max(1, math.ceil(n / block_rows))
-    base = points.select(F.col(key).cast("bigint").alias(key),
-                         *[F.col(f).cast("double").alias(f) for f in features],
-                         F.pmod(F.xxhash64(F.col(key)), F.lit(B)).cast("int").alias("_blk"))
-    others = F.sequence(F.lit(0), F.lit(B - 1))
-    # fresh aliases: the two cogroup sides must not share attribute ids
-    fresh = [F.col(c).alias(c) for c in [key, *features]]
-    q = base.select(*fresh, F.col("_blk").alias("_qb"), F.explode(others).alias("_rb"))
-    r = base.select(*[F.col(c).alias(c) for c in [key, *features]], F.col("_blk").alias("_rb"),
-                    F.explode(others).alias("_qb"))
-    schema = T.StructType([T.StructField("qkey", T.LongType()), T.StructField("nkey", T.LongType()),
-                           T.StructField("dist", T.DoubleType())])
-    cand = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(
-        _knn_block_fn(features, key, k), schema)
-    best = cand.groupBy("qkey").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("dist", "nkey"))), 1, k).alias("_nn"))
-    return best.select("qkey", F.posexplode("_nn").alias("_pos", "_c")).select(
-        "qkey", (F.col("_pos") + 1).alias("rank"), F.col("_c.nkey").alias("nkey"),
-        F.col("_c.dist").alias("dist"))
+    parts = max(1, math.ceil(n / block_rows))
+    vectors = cut_lineage(_vectors(points, features, key, k, parts), "vectors")
+    wanted = min(MAX_PIVOTS, parts)
+    pivots = np.array([r["f"] for r in vectors.orderBy(F.xxhash64(F.lit(5), "vid"), "vid").limit(wanted).collect()]).reshape(-1, width)
+    if not len(pivots):
+        return spark.createDataFrame([], "qkey long, rank int, nkey long, dist double")
+    share = spark.sparkContext.broadcast
+    pivots_bc = share(pivots)
+    schema = "vid long, f array<double>, keys array<long>, pivot int, dist double"
+    placed = cut_lineage(vectors.mapInArrow(_to_pivots(pivots_bc, width), schema), "placed")
+    stats = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()}    # one row per pivot
+    radii = np.array([stats[p]["r"] if p in stats else -np.inf for p in range(len(pivots))])
+    cut = [max(1, math.ceil(stats[p]["n"] / block_rows)) if p in stats else 0 for p in range(len(pivots))]
+    cuts = F.broadcast(spark.createDataFrame(list(enumerate(cut)), "_p int, cuts int"))
+    placed = placed.join(cuts, F.col("pivot") == F.col("_p")).withColumn("cell", F.pmod(F.xxhash64(F.lit(9), "vid"), F.col("cuts")).cast("int")).drop("_p", "cuts", "dist")
+    best = "vid long, dist double, keys array<long>"
+    fresh = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  the sides of a cogroup must not share attributes
+    refs = fresh(placed, "f", "keys", "pivot", "cell").groupBy("pivot", "cell")
+    own = cut_lineage(fresh(placed, "vid", "f", "pivot", "cell").groupBy("pivot", "cell").cogroup(refs).applyInArrow(_best_of(width, k), best), "own")
+    # u: where the keys found so far, without the own one, reach k
+    upto = Window.partitionBy("vid").orderBy("dist").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bound = own.withColumn("_n", F.sum(F.size("keys")).over(upto)).where(F.col("_n") >= k + 1).groupBy(F.col("vid").alias("_v")).agg(F.min("dist").alias("u"))
+    asked = placed.join(bound, F.col("vid") == F.col("_v"), "left").withColumn("u", F.coalesce("u", F.lit(float("inf")))).select("vid", "f", "pivot", "cell", "u")
+    to = asked.mapInArrow(_cells_to_visit(pivots_bc, share(radii), width), "vid long, f array<double>, to int, pivot int, cell int")
+    to = to.join(cuts, F.col("to") == F.col("_p")).withColumn("into", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    # a cell that many ask for is compared in several tasks, each with a chunk of those that ask
+    to = cut_lineage(to.where((F.col("to") != F.col("pivot")) | (F.col("into") != F.col("cell"))).select("vid", "f", "to", "into"), "visits")
+    per_cell = to.groupBy(F.col("to").alias("_to"), F.col("into").alias("_into")).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("chunks"))
+    per_cell = cut_lineage(per_cell, "chunks")
+    if visits is not None:
+        visits += [to.count(), vectors.count() * (sum(cut) - 1)]
+    sent = to.join(per_cell, (F.col("to") == F.col("_to")) & (F.col("into") == F.col("_into"))).withColumn("chunk", F.pmod(F.xxhash64(F.lit(4), "vid"), F.col("chunks")).cast("int"))
+    held = placed.join(per_cell, (F.col("pivot") == F.col("_to")) & (F.col("cell") == F.col("_into"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    other = fresh(sent, "vid", "f", "to", "into", "chunk").groupBy("to", "into", "chunk").cogroup(
+        held.select("f", "keys", F.col("pivot").alias("to"), F.col("cell").alias("into"), "chunk").groupBy("to", "into", "chunk")).applyInArrow(_best_of(width, k), best)
+    # per vector: the k + 1 best (distance, key); its own keys are among them at 0
+    found = own.unionByName(other).select("vid", F.explode(F.transform("keys", lambda x: F.struct(F.col("dist").alias("dist"), x.alias("nkey")))).alias("c"))
+    top = found.groupBy(F.col("vid").alias("_v")).agg(F.slice(F.array_sort(F.collect_list("c")), 1, k + 1).alias("_nn"))
+    rows = points.select(F.col(key).cast("bigint").alias("qkey"), F.xxhash64(_point(features)).alias("vid"))
+    near = rows.join(top, F.col("vid") == F.col("_v")).select("qkey", F.slice(F.filter("_nn", lambda c: c["nkey"] != F.col("qkey")), 1, k).alias("_nn"))
+    return near.select("qkey", F.posexplode("_nn").alias("_pos", "_c")).select(
+        "qkey", (F.col("_pos") + 1).alias("rank"), F.col("_c.nkey").alias("nkey"), F.col("_c.dist").alias("dist"))
 
 
 def _unit(seed_col) -> F.Column:
@@ -133,7 +223,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "class", key: str
         return flagged
     kk = min(k, n_min - 1)
     mino = df.where(F.col(label) == minority).select(key, *features)
-    mino = dense_index(mino, F.xxhash64(F.col(key), F.lit(seed)), key).persist()
+    mino = cut_lineage(dense_index(mino, F.xxhash64(F.col(key), F.lit(seed)), key), "minority")
     # k-NN keyed by the dense index (works for any key type)
     nn = knn_within(mino.select("_idx", *features), features, "_idx", kk, n_points=n_min)
 

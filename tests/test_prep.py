@@ -76,6 +76,59 @@ def test_knn_is_exact_with_many_blocks(spark):
         assert [n for _, n in sorted(got[i])] == want
 
 
+def _brute_knn(rows, k):
+    """{key: [(distance, key) of the k nearest]} row by row; ties by key."""
+    out = {}
+    for i, x in rows:
+        d = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), j) for j, y in rows if j != i)
+        out[i] = d[:k]
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [15, 60, 10_000])
+def test_knn_with_copies_ties_and_clusters(spark, block_rows):
+    """A third of all rows are one point, others stand on a grid (ties), the
+    rest in clusters; -0.0 and 0.0 are one value."""
+    rng = np.random.default_rng(2)
+    points = [(0.0, -0.0)] * 60 + [(0.0, 0.0)] * 40 + [(float(a), float(b)) for a in range(5, 11) for b in range(6)] + \
+        [tuple(map(float, c + rng.normal(0, 0.01, 2))) for c in ([100, 0], [0, 100], [100, 100]) for _ in range(50)]
+    keys = rng.permutation(len(points)).tolist()
+    rows = list(zip(keys, points))
+    df = spark.createDataFrame([(i, *p) for i, p in rows], "k long, a double, b double").repartition(5)
+    got, visits = {}, []
+    for r in B.knn_within(df, ["a", "b"], "k", k=4, block_rows=block_rows, visits=visits).collect():
+        got.setdefault(r["qkey"], []).append((r["rank"], r["nkey"], r["dist"]))
+    want = _brute_knn(rows, 4)
+    assert {i: [n for _, n, _ in sorted(v)] for i, v in got.items()} == {i: [j for _, j in v] for i, v in want.items()}
+    np.testing.assert_allclose([[d for _, _, d in sorted(got[i])] for i in sorted(got)], [[d for d, _ in want[i]] for i in sorted(want)], atol=1e-9)
+    assert visits[0] <= visits[1] and (block_rows == 10_000 or visits[0] < 0.6 * visits[1])
+
+
+def test_knn_visits_few_of_many_cells(spark):
+    """On clustered points a neighbourhood touches few cells, whatever their number."""
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("k"), *[(F.pmod(F.xxhash64(F.lit(j), F.col("id") % 200), F.lit(1000)).cast("double") + F.randn(j) * 0.5).alias(f"f{j}") for j in range(6)]).cache()
+    visits = []
+    nn = B.knn_within(df, [f"f{j}" for j in range(6)], "k", k=5, block_rows=200, visits=visits)
+    assert nn.count() == 5 * n
+    assert visits[0] < 0.05 * visits[1], visits      # the quadratic way: 1.0
+    x = np.array(df.select("k", *[f"f{j}" for j in range(6)]).orderBy("k").collect())[:, 1:]
+    some = nn.where("qkey % 1000 = 7").collect()
+    for i in range(7, n, 1000):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert sorted(r["nkey"] for r in some if r["qkey"] == i) == sorted(np.argsort(d)[:5].tolist())
+
+
+def test_knn_of_few_points(spark):
+    schema = "k long, a double"
+    assert B.knn_within(spark.createDataFrame([], schema), ["a"], "k").collect() == []
+    assert B.knn_within(spark.createDataFrame([(1, 2.0)], schema), ["a"], "k").collect() == []
+    got = B.knn_within(spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 2.0)], schema), ["a"], "k", k=5).collect()
+    assert sorted((r["qkey"], r["rank"], r["nkey"], r["dist"]) for r in got) == [
+        (1, 1, 3, 0.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 3, 1.0), (3, 1, 1, 0.0), (3, 2, 2, 1.0)]
+
+
 def test_smote_counts_and_segments(spark):
     rows = [(i, float(i % 7), 0) for i in range(80)] + [(100 + i, 50.0 + i, 1) for i in range(10)]
     df = spark.createDataFrame(rows, "txn_id long, x double, class int")
