@@ -21,7 +21,11 @@ with the largest id; the others are revisit records that hold the HTTP headers
 
 Defined cases: null payload is empty; a row without id is a revisit if its
 payload is stored under another id, else a response without id; rows that
-repeat the largest id are responses; a null url leaves the target URI out.
+repeat the largest id are responses; a null url leaves the target URI out;
+payloads of any length are written and read whole, in time and memory in
+proportion to their length (a Spark value holds 2 GB at most); an empty table
+gives archives without records, and those an empty result; other columns of the
+input, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -43,7 +47,10 @@ EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
 SPLIT_BYTES = 16 << 20   # bytes of a reading task's range
-CHUNK = 1 << 20          # bytes read at once
+CHUNK = 1 << 20          # bytes read at once,
+FEED = 1 << 14           # fed to the inflater at once,
+FIRST_BYTES = 64         # at first: enough for a member's header and a little of its text;
+INFLATE = 1 << 20        # and bytes inflated at once
 BATCH_BYTES = 8 << 20    # payload bytes in an output batch
 
 
@@ -110,23 +117,41 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 # ------------------------------------------------------------------ reading --
 
 class _Range:
-    """Bytes of a file from ``start`` on, read in chunks as they are asked for."""
-
-    def __init__(self, f, start: int, size: int):
-        self.f, self.base, self.size, self.buf = f, start, size, b""
-
-    def fill(self, to: int) -> bool:
-        """Buffer up to absolute offset ``to``; False if the file ends before."""
-        while self.base + len(self.buf) < min(to, self.size):
-            self.f.seek(self.base + len(self.buf))
-            got = self.f.read(min(CHUNK, self.size - self.base - len(self.buf)))
-            if not got:
-                break
-            self.buf += got
-        return self.base + len(self.buf) >= to
-
-    def drop(self, to: int) -> None:
-        self.buf, self.base = self.buf[to - self.base:], to
+    """Bytes of a file, in pieces as they are asked for; the last piece read is
+    kept, so looking on a little or back a little costs no second read."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.base, self.buf = f, size, 0, b""
+
+    def _have(self, pos: int) -> bool:
+        if not self.base <= pos < self.base + len(self.buf):
+            if pos >= self.size:
+                return False
+            self.f.seek(pos)
+            self.base, self.buf = pos, self.f.read(min(CHUNK, self.size - pos))
+        return bool(self.buf)
+
+    def at(self, pos: int, n: int) -> memoryview:
+        """Up to ``n`` bytes from ``pos`` on; fewer at the end of the piece at
+        hand, none at the file's."""
+        if not self._have(pos):
+            return memoryview(b"")
+        return memoryview(self.buf)[pos - self.base:pos - self.base + n]
+
+    def find(self, what: bytes, pos: int, end: int) -> int:
+        """Where ``what`` begins next in [pos, end); -1 if nowhere."""
+        while pos < end and self._have(pos):
+            found = self.buf.find(what, pos - self.base)
+            if found >= 0:
+                return self.base + found if self.base + found < end else -1
+            last = self.base + len(self.buf)
+            if last >= self.size:
+                return -1
+            pos = max(pos, last - len(what) + 1)
+            if pos < end:       # it may go on in the next piece
+                self.f.seek(pos)
+                self.base, self.buf = pos, self.f.read(min(CHUNK, self.size - pos))
+        return -1
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -140,55 +165,55 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 def member_at(r: _Range, at: int):
     """(headers, block, end) of the record whose gzip member starts at ``at``;
-    None if there is none."""
-    z, out, pos, head, seen = zlib.decompressobj(31), bytearray(), at, None, 0
+    None if there is none.
+
+    A few bytes are inflated first: a magic that stands in other data by chance
+    fails there, at the format or at the version line.  Then input goes through
+    piece by piece and is let go; the headers and the block are kept as lists
+    of pieces, so a member costs its own length once, however long it is."""
+    z, pos, first = zlib.decompressobj(31), at, True
+    head, text, parts, have, want, end = None, bytearray(), [], 0, 0, b""
+    data = b""
     while not z.eof:
-        r.fill(pos + 1)
-        data = r.buf[pos - r.base:pos - r.base + CHUNK]
         if not data:
-            return None
+            data = r.at(pos, FIRST_BYTES if first else FEED)
+            if not data:
+                return None
+            pos += len(data)
         try:
-            out += z.decompress(data)
+            out = z.decompress(data, FIRST_BYTES if first else INFLATE)
         except zlib.error:
             return None
-        pos += len(data) - len(z.unused_data)
+        first, data = False, z.unconsumed_tail
         if head is None:
-            if out[:7] != b"WARC/1."[:len(out)]:
+            seen = max(0, len(text) - 3)    # headers may be of any length: look on from here
+            text += out
+            if text[:7] != b"WARC/1."[:len(text)]:
+                return None
+            cut = text.find(b"\r\n\r\n", seen)
+            if cut < 0:
+                continue
+            head = _headers(bytes(text[:cut]))
+            if "warc-type" not in head or not head.get("content-length", "").isdigit():
                 return None
-            cut = out.find(b"\r\n\r\n", seen)
-            seen = max(0, len(out) - 3)     # headers may be of any length: look on from here
-            if cut >= 0:
-                head = _headers(bytes(out[:cut]))
-                if "warc-type" not in head or not head.get("content-length", "").isdigit():
-                    return None
-    if head is None or len(out) < (start := cut + 4) + int(head["content-length"]):
+            out, text, want = bytes(text[cut + 4:]), bytearray(), int(head["content-length"])
+        if out and have < want:
+            parts.append(out[:want - have])
+            have += len(parts[-1])
+    if head is None or have < want:
         return None
-    return head, bytes(out[start:start + int(head["content-length"])]), pos
+    return head, b"".join(parts), pos - len(z.unused_data) - len(data)
 
 
 def scan_range(f, size: int, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records that start in [start, end) of a file of ``size`` bytes."""
-    r, at = _Range(f, start, size), start
-    while at < end:
-        r.fill(min(end + len(MAGIC), at + CHUNK))
-        found = r.buf.find(MAGIC, at - r.base)
-        if found < 0:
-            seen = r.base + len(r.buf)
-            if seen >= min(size, end + len(MAGIC)):
-                return
-            at = max(at, seen - len(MAGIC) + 1)
-            r.drop(at)
-            continue
-        at = r.base + found
-        if at >= end:
-            return
-        r.drop(at)
+    r, at = _Range(f, size), start
+    while (at := r.find(MAGIC, at, end)) >= 0:
         if (got := member_at(r, at)) is None:
             at += 1
         else:
             yield got[:2]
             at = got[2]
-            r.drop(at)
 
 
 def _read_ranges(with_payload: bool):

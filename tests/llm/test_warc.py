@@ -46,6 +46,54 @@ def test_long_record_ends_with_an_empty_member():
     assert len(block.partition(b"\r\n\r\n")[2]) == 17 << 20
 
 
+def test_long_members_take_time_in_proportion():
+    """A payload of 200 MB and one of 50 MB, compressible and not."""
+    import time
+
+    rng = random.Random(5)
+    for make in (lambda n: bytes(n), lambda n: rng.randbytes(1 << 20) * (n >> 20)):
+        took = []
+        for mb in (50, 200):
+            raw = warc.record_bytes(1, None, make(mb << 20), None, True) + warc.record_bytes(2, None, b"after", None, True)
+            start = time.time()
+            got = [(h["warc-record-id"], len(b)) for h, b in warc.scan_range(io.BytesIO(raw), len(raw), 0, len(raw))]
+            took.append(time.time() - start)
+            assert [i for i, _ in got] == ["<urn:page:1>", "<urn:page:2>"] and got[0][1] > mb << 20
+        assert took[1] < 8 * took[0] + 0.5 and took[1] < 15, took
+
+
+def test_a_magic_by_chance_inflates_little(monkeypatch):
+    """Members that are no records are left after their first bytes."""
+    bomb = gzip.compress(bytes(50 << 20))
+    raw = bomb * 3 + warc.record_bytes(7, None, b"x", None, True)
+    inflated = []
+    real = zlib.decompressobj
+
+    class Counting:
+        def __init__(self, *a):
+            self.z = real(*a)
+
+        def decompress(self, data, n):
+            out = self.z.decompress(data, n)
+            inflated.append(len(out))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.z, name)
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    assert [h["warc-record-id"] for h, _ in warc.scan_range(io.BytesIO(raw), len(raw), 0, len(raw))] == ["<urn:page:7>"]
+    assert sum(inflated) < 10_000
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(*p, "i", b"p", "d", 9, "x", "y") for p in PAGES],
+                               "page_id long, url string, html string, refers_to long, id string, payload binary, d string, _i int, _d string, record string")
+    path = scratch_path(spark, "warc")
+    warc.write_warc(df, path)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.page_records(warc.read_warc(spark, path)).collect()]
+    assert sorted(got, key=str) == expected(PAGES)
+
+
 def test_garbage_between_records_is_passed_over():
     a, b = (warc.record_bytes(i, None, b"p%d" % i, None, True) for i in (1, 2))
     raw = b"junk" + warc.MAGIC + a + warc.MAGIC + b"\0\0" + zlib.compress(b"x") + gzip.compress(b"other") + b + b[:30]
