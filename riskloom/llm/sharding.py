@@ -40,14 +40,41 @@ OLD_SHARDS, NEW_SHARDS = 12, 16
 
 # ---------------------------------------------------------------- the flow --
 
+def _keep_and_fill(supply: Sequence[int], demand: Sequence[int]) -> list[list[int]]:
+    flow = [[0] * len(demand) for _ in supply]
+    surplus, deficit = list(supply), list(demand)
+    for i in range(min(len(supply), len(demand))):
+        flow[i][i] = min(supply[i], demand[i])
+        surplus[i] -= flow[i][i]
+        deficit[i] -= flow[i][i]
+    i = j = 0
+    while i < len(surplus) and j < len(deficit):
+        moved = min(surplus[i], deficit[j])
+        flow[i][j] += moved
+        surplus[i] -= moved
+        deficit[j] -= moved
+        if surplus[i] == 0:
+            i += 1
+        else:
+            j += 1
+    return flow
+
+
 def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost=None) -> list[list[int]]:
     """Bytes from each old shard to each new one, at the least total cost.
 
     ``cost(i, j)``: per byte, 0 or more; 0 for staying and 1 for moving by
-    default.  Successive shortest paths with potentials on the bipartite
-    graph of shards.  Sends min(sum of supply, sum of demand) bytes.
+    default.  Sends min(sum of supply, sum of demand) bytes.
+
+    By default a shard keeps what it can hold: at most the sum of
+    min(supply, demand) bytes can stay at all, so that is the least that moves,
+    and any way of filling the deficits from the surpluses completes it; one
+    walk along both does.  Other costs go through successive shortest paths
+    with potentials on the bipartite graph of shards, whose time grows about
+    with the cube of the shards: up to some hundred of them.
     """
-    cost = cost or (lambda i, j: 0 if i == j else 1)
+    if cost is None:
+        return _keep_and_fill(supply, demand)
     n, m = len(supply), len(demand)
     s, t = n + m, n + m + 1
     edges: list[list] = []      # [to, capacity left, cost]; the twin at index ^ 1

@@ -23,6 +23,29 @@ def test_flow_moves_the_fewest_bytes():
         assert moved == sum(max(0, s - (caps[i] if i < m else 0)) for i, s in enumerate(supply))
 
 
+def test_default_flow_costs_what_the_general_solver_finds():
+    rng = random.Random(8)
+    for _ in range(30):
+        supply, demand = ([rng.randint(0, 30) for _ in range(rng.randint(1, 7))] for _ in range(2))
+        cost = lambda i, j: int(i != j)
+        total = lambda flow: sum(cost(i, j) * x for i, r in enumerate(flow) for j, x in enumerate(r))  # noqa: E731,B023
+        a, b = sharding.min_cost_flow(supply, demand), sharding.min_cost_flow(supply, demand, cost)
+        assert sum(map(sum, a)) == sum(map(sum, b)) == min(sum(supply), sum(demand))
+        assert total(a) <= total(b) and all(sum(r) <= s for r, s in zip(a, supply)) and all(sum(c) <= d for c, d in zip(zip(*a), demand))
+
+
+def test_many_shards_at_once():
+    import time
+
+    rng = random.Random(1)
+    start = time.time()
+    supply = [rng.randint(0, 10 ** 12) for _ in range(1000)]
+    caps = sharding.equal_capacities(sum(supply), 1250)
+    flow = sharding.min_cost_flow(supply, caps)
+    assert time.time() - start < 5 and [sum(r) for r in flow] == supply and [sum(c) for c in zip(*flow)] == caps
+    assert sum(x for i, r in enumerate(flow) for j, x in enumerate(r) if i != j) == sum(max(0, s - c) for s, c in zip(supply, caps))
+
+
 def test_flow_with_other_costs_is_optimal():
     rng = random.Random(3)
     for _ in range(20):
