@@ -18,12 +18,13 @@ from riskloom.sources import fixtures as X
 from riskloom.streaming import jobs as J
 
 N_CHUNKS = 8
+N_REQUEST_CHUNKS = 3
 
 
 @query("stream_velocity")
 def stream_velocity(spark, d):
     """Per-device running count and 1h trailing count from a stateful stream
-    (state per device and hour, expired by timers); equals the batch windows
+    (state per device and day, expired by timers); equals the batch windows
     on in-order input."""
     t = X.commerce_txn(spark, d)
     src, files = J.write_ordered_chunks(t, scratch_path(spark, "velocity-src"), "purchase_time", N_CHUNKS)
@@ -114,7 +115,7 @@ def stream_score(spark, d):
     past, new = TR.last_week(spark, d)
     state = KeyState(spark, scratch_path(spark, "stream-state"))
     state.merge(cut_lineage(past, "past"))
-    src, files = J.write_ordered_chunks(new, scratch_path(spark, "score-src"), "purchase_time", N_CHUNKS)
+    src, files = J.write_ordered_chunks(new, scratch_path(spark, "score-src"), "purchase_time", N_REQUEST_CHUNKS)
     out, ckpt = J.scratch(spark, "score")
     stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", files).parquet(src)
     J.run_foreach_batch(stream, J.score_writer(TR.raw_scorer(spark, d, "random_forest"), out, state.path), ckpt)
