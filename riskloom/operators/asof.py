@@ -33,6 +33,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage, drop_scratch
+
 DEFAULT_BROADCAST_ROWS = 2_000_000
 _COARSE_BUCKETS_LOG2 = 16
 
@@ -127,12 +129,16 @@ class RangeIndex:
         self.shift = _shift_for(self.stats.span, max(self.stats.n, 1))
         bound = self.stats.n + (self.stats.span >> self.shift) + 1
         dis = disjoint_ranges(ranges, lower, upper, payload, self.stats)
-        self.exploded = dis.select(
+        self.exploded = cut_lineage(dis.select(
             F.explode(F.sequence(F.shiftright(F.col("lo"), self.shift),
                                  F.shiftright(F.col("hi"), self.shift))).alias("_bkt"),
-            F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *payload).persist()
+            F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *payload), "ranges")
         self.broadcast = bound <= broadcast_rows
 
+    def release(self) -> None:
+        """Delete the index's table, once no join needs it."""
+        drop_scratch(self.exploded)
+
     def join(self, points: DataFrame, point_col: str) -> DataFrame:
         ex = F.broadcast(self.exploded) if self.broadcast else self.exploded
         p = points.withColumn("_bkt", F.shiftright(F.col(point_col), self.shift))

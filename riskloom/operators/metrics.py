@@ -29,7 +29,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, drop_scratch
 
 F1_EPS = 1e-10
 _TARGET_SCORES_PER_BUCKET = 50_000
@@ -186,13 +186,18 @@ class ScoreCurve:
     def of(cls, df: DataFrame, label: str = "label", score: str = "fraud_probability",
            buckets: int | None = None, persist: bool = True) -> "ScoreCurve":
         # the distinct-score table is read three times (totals, edges, prefix)
-        counts = score_counts(df, label, score).persist()
+        counts = cut_lineage(score_counts(df, label, score), "scores")
         t = totals(counts)
         pts = prefix_desc(counts, buckets if buckets is not None else n_buckets_for(t.n_scores))
-        if persist:
-            pts = pts.persist()
+        if persist:     # several curves and searches read it
+            pts = cut_lineage(pts, "curve")
+            drop_scratch(counts)
         return cls(pts, t)
 
+    def release(self) -> None:
+        """Delete the prefix table, once its results have been taken."""
+        drop_scratch(self.points)
+
     # -- areas -------------------------------------------------------------
     def roc_auc(self) -> DataFrame:
         """Sum over scores of pos * (negatives below + negatives tied / 2) / (P N)."""
