@@ -120,6 +120,25 @@ def test_knn_visits_few_of_many_cells(spark):
         assert sorted(r["nkey"] for r in some if r["qkey"] == i) == sorted(np.argsort(d)[:5].tolist())
 
 
+def test_knn_visits_few_cells_without_clusters(spark):
+    """Flags and spread columns, no clusters: boxes keep apart what balls around
+    pivots do not (they were visited nearly all), and results stay exact."""
+    rng = np.random.default_rng(3)
+    n, k = 4000, 5
+    x = np.column_stack([rng.integers(0, 2, (n, 6)) * 2.0, rng.normal(size=(n, 4))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, " + ", ".join(f"f{j} double" for j in range(10))).repartition(4).cache()
+    visits = []
+    nn = B.knn_within(df, [f"f{j}" for j in range(10)], "k", k=k, block_rows=50, visits=visits).collect()
+    assert visits[0] < 0.3 * visits[1], visits
+    got = {}
+    for r in nn:
+        got.setdefault(r["qkey"], {})[r["rank"]] = r["nkey"]
+    for i in range(0, n, 37):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert [got[i][r] for r in range(1, k + 1)] == np.lexsort((np.arange(n), d))[:k].tolist()
+
+
 def test_knn_of_few_points(spark):
     schema = "k long, a double"
     assert B.knn_within(spark.createDataFrame([], schema), ["a"], "k").collect() == []
