@@ -56,16 +56,20 @@ def _slices(items: list, size: int):
 
 
 class _Pieces(dict):
-    """Piece -> (number of ids, ids joined by commas, ids), two generations."""
+    """Piece -> (number of ids, ids joined by commas, ids, the bytes that the
+    ids decode to), two generations."""
 
-    def __init__(self, limit: int):
-        self.limit, self.old = limit, {}
+    def __init__(self, limit: int, bytes_of: dict[int, bytes]):
+        self.limit, self.old, self.bytes_of = limit, {}, bytes_of
 
     def put(self, piece: str, ids: list[int]) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[piece] = (len(ids), ",".join(map(str, ids)), tuple(ids))   # tuples of plain values cost the garbage collector nothing
+        self[piece] = self.entry(ids)
+
+    def entry(self, ids) -> tuple:
+        return len(ids), ",".join(map(str, ids)), tuple(ids), b"".join([self.bytes_of.get(i, b"") for i in ids])   # tuples of plain values cost the garbage collector nothing
 
     def forget(self) -> None:
         self.clear()
@@ -100,7 +104,7 @@ class Bpe:
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.pieces_of = regex.compile(PIECE).findall
-        self.pieces = _Pieces(cache_pieces)
+        self.pieces = _Pieces(cache_pieces, self.bytes_of)
         order = np.argsort(np.fromiter(self.merges, np.int64, len(self.merges)))
         self.keys = np.fromiter(self.merges, np.int64, len(self.merges))[order]
         self.values = np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
@@ -244,7 +248,7 @@ class Bpe:
             at = m.end()
         return out + self.pieces_of(text[at:])
 
-    def parts(self, texts: list[str]) -> list[list[tuple[int, str, list[int]]]]:
+    def parts(self, texts: list[str]) -> list[list[tuple[int, str, tuple, bytes]]]:
         """The encoded pieces of each text in order."""
         pieces = [self.split(t) for t in texts]
         found = [list(map(self.pieces.get, p)) for p in pieces]
@@ -257,7 +261,7 @@ class Bpe:
         if self.marks is not None:
             for p, f in zip(pieces, found):
                 if None in f:
-                    f[:] = [(1, str(x), [x]) if y is None else y for x, y in zip(p, f)]   # added tokens
+                    f[:] = [self.pieces.entry([x]) if y is None else y for x, y in zip(p, f)]   # added tokens
         return found
 
     def encode(self, text: str | None) -> list[int]:
@@ -338,12 +342,13 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             for part, texts in _text_batches(batches, "_text"):
                 n, ids_sha, text_sha, listed = [], [], [], []
                 for parts in bpe.parts([t or "" for t in texts]):
-                    ids = [i for p in parts for i in p[2]]
-                    n.append(len(ids))
-                    ids_sha.append(sha(",".join([p[1] for p in parts])))
-                    text_sha.append(sha(bpe.decode(ids)))
+                    counts, joined, ids, raw = zip(*parts) if parts else ((), (), (), ())
+                    n.append(sum(counts))
+                    ids_sha.append(sha(",".join(joined)))
+                    # the bytes of each piece's ids, decoded once a piece; together they are what the whole list decodes to
+                    text_sha.append(sha(b"".join(raw).decode("utf-8", "replace")))
                     if with_ids:
-                        listed.append(ids)
+                        listed.append([i for p in ids for i in p])
                 cols = [part.column("_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(listed, pa.list_(pa.int32()))] * with_ids, names)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

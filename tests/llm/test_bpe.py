@@ -30,6 +30,18 @@ def test_equals_the_library(library):
         assert own.decode(want) == library.decode(want, skip_special_tokens=False) == t
 
 
+def test_pieces_carry_the_bytes_their_ids_decode_to(library):
+    """Decoding is done once a piece; the bytes of a text's pieces together
+    decode as the whole list of ids, also where a character spans ids."""
+    own, rng = bpe.Bpe(bpe.default_vocabulary(), cache_pieces=50), random.Random(4)
+    texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 30))) for _ in range(300)] + ["", "x\ud800y"]
+    for t, parts in zip(texts, own.parts(texts)):
+        ids = [i for p in parts for i in p[2]]
+        assert b"".join(p[3] for p in parts) == b"".join(own.bytes_of.get(i, b"") for i in ids)
+        assert b"".join(p[3] for p in parts).decode("utf-8", "replace") == own.decode(ids)
+        assert own.decode(ids) == (library.decode(ids, skip_special_tokens=False))
+
+
 def test_fragments_are_cut_at_pairs_in_no_token():
     own = bpe.Bpe(bpe.default_vocabulary())
     raw = "thqx 中zq".encode()
