@@ -14,7 +14,7 @@ from riskloom.functions import scalar as S
 from riskloom.operators import models as MD
 from riskloom.operators import quality as Q
 from riskloom.plans import features as FT
-from riskloom.plans.catalog import query, r6
+from riskloom.plans.catalog import query, r6, r6_scan
 from riskloom.plans.oracle import SQL, sql
 from riskloom.session import scratch_path
 from riskloom.sources import fixtures as X
@@ -31,7 +31,7 @@ def _csv(df, spark, name):
 @query("scan_commerce")
 def scan_commerce(spark, d):
     path = _csv(X.commerce_txn(spark, d), spark, "commerce-csv")
-    return r6(IO.load_commerce(spark, path))
+    return r6_scan(IO.load_commerce(spark, path))
 
 
 sql("scan_commerce", "select * replace (round(purchase_value, 6) as purchase_value, "
@@ -42,7 +42,7 @@ sql("scan_commerce", "select * replace (round(purchase_value, 6) as purchase_val
 def scan_card(spark, d):
     card = X.card_txn(spark, d).withColumnRenamed("class", "Class")
     path = _csv(card, spark, "card-csv")
-    return r6(IO.load_card(spark, path))
+    return r6_scan(IO.load_card(spark, path))
 
 
 sql("scan_card", """select txn_id, round("Time", 6) as "Time", round("Amount", 6) as "Amount",
@@ -70,7 +70,7 @@ def sink_processed(spark, d):
     """Processed card features written (Parquet) and read back unchanged."""
     root = scratch_path(spark, "processed")
     IO.save_processed(FT.prepare_features(X.card_txn(spark, d), "creditcard"), "creditcard", root)
-    return r6(IO.load_processed(spark, "creditcard", root))
+    return r6_scan(IO.load_processed(spark, "creditcard", root))
 
 
 @query("scan_processed")
@@ -80,7 +80,7 @@ def scan_processed(spark, d):
     feats = FT.prepare_features(X.card_txn(spark, d), "creditcard")
     IO.save_processed(feats, "creditcard", root, fmt="csv")
     back = IO.load_processed(spark, "creditcard", root, schema=feats.schema, fmt="csv")
-    return r6(back)
+    return r6_scan(back)
 
 
 @query("scan_batch_csv")
@@ -140,7 +140,7 @@ def sink_scores(spark, d):
     scored = MD.score_details(X.scores(spark, d), 0.5, include_details=True)
     path = scratch_path(spark, "scores")
     IO.write_scores(scored, path)
-    return r6(spark.read.parquet(path))
+    return r6_scan(spark.read.parquet(path))
 
 
 @query("sink_metrics")
