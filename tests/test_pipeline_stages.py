@@ -113,3 +113,36 @@ def test_training_data_follows_the_tables(spark, tmp_path):
     b = TR.commerce_training_data(spark, str(tmp_path), use_smote=False)
     assert b is not a and b.n_train < a.n_train
     assert TR.commerce_training_data(spark, str(tmp_path), use_smote=False) is b
+
+
+def test_fits_run_side_by_side(spark, monkeypatch):
+    """Several fits at once while their rows fit beside each other, else one
+    after the other; a failure is that model's alone."""
+    import threading
+    from types import SimpleNamespace
+
+    from riskloom.plans import training as TR
+    together = threading.Barrier(3)
+
+    def fit(spark, d, t, td):
+        if td.n_train < TR.SIDE_BY_SIDE_ROWS:
+            together.wait(20)           # nobody goes on before all three are here
+        if t == "b":
+            raise ValueError(t)
+        return t.upper()
+    monkeypatch.setattr(TR, "fit", fit)
+    for n in (10, TR.SIDE_BY_SIDE_ROWS + 1):
+        got = TR.fit_all(spark, "d", ("a", "b", "c"), SimpleNamespace(n_train=n))
+        assert list(got) == ["a", "b", "c"] and (got["a"], got["c"]) == ("A", "C") and isinstance(got["b"], ValueError)
+
+
+def test_large_training_tables_are_dealt_evenly(spark, monkeypatch):
+    from riskloom.plans import training as TR
+    monkeypatch.setattr(TR, "EVEN_ROWS", 1000)
+    cores = spark.sparkContext.defaultParallelism
+    uneven = spark.range(0, 900, numPartitions=1).union(spark.range(900, 1003, numPartitions=1))
+    assert TR._evenly(uneven, 1000) is uneven
+    sizes = TR._evenly(uneven, 1003).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == cores and max(r["count"] for r in sizes) <= 1003 / cores + 2
+    monkeypatch.setattr(TR, "FILE_ROWS", 100)
+    assert TR._evenly(uneven, 1003).rdd.getNumPartitions() == cores * -(-1003 // (cores * 100))
