@@ -146,3 +146,22 @@ def test_large_training_tables_are_dealt_evenly(spark, monkeypatch):
     assert len(sizes) == cores and max(r["count"] for r in sizes) <= 1003 / cores + 2
     monkeypatch.setattr(TR, "FILE_ROWS", 100)
     assert TR._evenly(uneven, 1003).rdd.getNumPartitions() == cores * -(-1003 // (cores * 100))
+
+
+def test_a_fold_is_oversampled_once(spark, monkeypatch):
+    """The fit's passes read a fold's rows from a table, which goes when it is fitted."""
+    from riskloom.operators import models as MD
+    from riskloom.plans import training as TR
+    from riskloom.session import path_exists
+    seen, weigh = [], MD.weight_for
+
+    def weight_for(model_type, df, label):
+        seen.append(df)
+        return weigh(model_type, df, label)
+    monkeypatch.setattr(MD, "weight_for", weight_for)
+    monkeypatch.setattr(TR, "DEFAULTS", type(TR.DEFAULTS)(lr_max_iter=3))
+    folds = TR.cross_validate(spark, SF0001, "logistic_regression", k=2)
+    assert len(seen) == 2 and {r["fold"] for r in folds.collect()} == {0, 1}
+    for df in seen:
+        assert "Join" not in df._jdf.queryExecution().logical().toString()
+        assert not path_exists(spark, df.inputFiles()[0])
